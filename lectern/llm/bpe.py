@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from lectern.llm.common import filled, small_batches, table
 
 #: Most states that a transducer keeps, and most words whose ids a worker remembers; beyond either it begins afresh.
-MOST_STATES, MOST_WORDS = 300_000, 200_000
+MOST_STATES, MOST_WORDS = 400_000, 150_000
 #: Words beyond this length are encoded, but not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -85,7 +85,7 @@ class Transducer:
                 node = following
             self.token_at[node] = rank
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._begin()
 
     def _begin(self) -> None:
@@ -121,9 +121,9 @@ class Transducer:
         """
         if left < 0:
             return self.halves(right) is not None
-        known = self._fits.get((left, right))
+        known = self._fits.get(left << 20 | right)
         if known is None:
-            known = self._fits[left, right] = self._stay_apart(left, right)
+            known = self._fits[left << 20 | right] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -143,28 +143,33 @@ class Transducer:
                 limit, right = right + 1, self.halves(right)[0]
 
     def move(self, configurations: tuple, byte: int) -> tuple[_State, bytes]:
-        found, children, token_at = [], self.children, self.token_at
+        found, children, token_at, fits, whole, delayed = [], self.children, self.token_at, self._fits, None, True
         for last, node, waiting in configurations:
             following = children[node].get(byte)
             if following is None:
                 continue
             if children[following]:
                 found.append((last, following, waiting))
+                delayed = delayed and bool(waiting)
             token = token_at[following]
-            if token >= 0 and self.fits(last, token):
-                found.append((token, 0, (*waiting, token)))
-        if not found:
+            if token >= 0 and whole is None:  # what was read so far has one encoding, so one token alone can end here
+                fit = fits.get(last << 20 | token)
+                if self.fits(last, token) if fit is None else fit:
+                    whole = (token, 0, (*waiting, token))
+        if whole is None:
             raise ValueError("the vocabulary lacks single bytes")
+        found.append(whole)
+        if not delayed:
+            return self._state(tuple(found)), b""
         agreed = 0
         for each in zip(*[waiting for *_, waiting in found]):
             if each.count(each[0]) < len(each):
                 break
             agreed += 1
-        emitted = found[0][2][:agreed]
-        if agreed:
-            found = [(last, node, waiting[agreed:]) for last, node, waiting in found]
-        found.sort()
-        return self._state(tuple(found)), struct.pack(f"<{agreed}I", *emitted)
+        if not agreed:
+            return self._state(tuple(found)), b""
+        emitted = struct.pack(f"<{agreed}I", *whole[2][:agreed])
+        return self._state(tuple([(last, node, waiting[agreed:]) for last, node, waiting in found])), emitted
 
     def encode(self, data: bytes) -> bytes:
         if len(self.states) > MOST_STATES:

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from lectern.llm.bpe import op3_byte_bpe
+from lectern.llm.packing import op4_power_of_two_packing
+from lectern.llm.sharding import op5_hypergeometric_sharding
+from lectern.llm.simhash import op10_simhash_ball_hashing
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_power_of_two_packing": op4_power_of_two_packing,
+    "op5_hypergeometric_sharding": op5_hypergeometric_sharding,
+    "op10_simhash_ball_hashing": op10_simhash_ball_hashing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lectern.llm.bpe import op3_byte_bpe
 from lectern.llm.packing import op4_power_of_two_packing
+from lectern.llm.pseudonyms import op1_feistel_pseudonyms
 from lectern.llm.quality import op9_attention_quality
 from lectern.llm.sharding import op5_hypergeometric_sharding
 from lectern.llm.simhash import op10_simhash_ball_hashing
@@ -13,6 +14,7 @@ from lectern.llm.toxicity import op6_convolutional_toxicity
 from lectern.llm.urls import OP7_SQL, op7_url_trie
 
 QUERIES = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_power_of_two_packing": op4_power_of_two_packing,

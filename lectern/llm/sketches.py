@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A text is the set of its paragraphs: its lines, of which long ones are cut each PARAGRAPH characters. A paragraph's
-digest goes into one cell of each of three tables; a cell holds how many digests it has, their exclusive or, and that of
+digest goes into one cell of each of four tables; a cell holds how many digests it has, their exclusive or, and that of
 their checksums. The sketches of two versions subtract cell by cell, so what they share is gone. A cell that then holds
 a single digest shows it (its checksum fits); taking it out of its other cells frees further ones. If this peeling stops
 before all cells are empty, a larger sketch is tried; in the end the plain sets decide. The digests recovered are the
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from lectern.llm.common import checkpointed, filled, table
 
 PARAGRAPH = 80
-#: Cells of one table of a fingerprint, and how many cells a first comparison has for each paragraph of the two texts.
-WIDTH, ROOM = 8, 2.4
-#: Peeling goes over each of the three tables so often; a comparison that fails is tried again with twice the room, so often.
-CYCLES, ATTEMPTS = 4, 5
+#: Tables of a sketch; cells of one table of a fingerprint.
+TABLES, WIDTH = 4, 6
+#: Cells that a first comparison has for each paragraph of the two texts, and more for each table.
+ROOM, SPARE = 2.2, 32
+#: Peeling goes over each table so often; a comparison that fails is tried again with twice the room, so often.
+CYCLES, ATTEMPTS = 3, 5
 #: Rows of a stretch of neighbouring ids, and most stretches. Their borders come from a sample of ids of a bounded size.
-STRETCH, MOST_STRETCHES = 2048, 16_384
+STRETCH, MOST_STRETCHES = 512, 16_384
 EDITED, NEXT, FIRST_PRINT, SECOND_PRINT, CARRIED = range(5)
 
 
@@ -65,13 +67,12 @@ def stretch_of(key: Column, cuts: list[int]) -> Column:
     return F.when(reached == 0, 0).otherwise((reached - 1) * step + F.size(F.filter(inside, lambda b: b <= key)))
 
 
-def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts: list[int], only: DataFrame | None = None) -> DataFrame:
     """Rows in ascending key, each with the carried columns of the row after it as next_<name>; after the last comes the first.
 
     The keys are longs and not null. Adds _stretch and _place, which together name a row. The first row of each stretch
-    also goes, as a shadow, to the end of the stretch before it; so one exchange is enough.
+    also goes, as a shadow, to the end of the stretch before it; so one exchange is enough. only: the stretches wanted.
     """
-    cuts = borders(df.select(key), key)
     placed = df.withColumn("_stretch", stretch_of(F.col(key), cuts).cast("int"))
     firsts = sorted((r[0], r[1]) for r in placed.groupBy("_stretch").agg(F.min(key)).collect())
     shadows = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
@@ -79,39 +80,30 @@ def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str]) -> D
     as_itself = F.struct(F.col("_stretch").alias("s"), F.lit(False).alias("shadow"))
     as_shadow = F.struct(F.col("_before").alias("s"), F.lit(True).alias("shadow"))
     both = placed.join(there, F.col(key) == F.col("_first"), "left").withColumn("_as", F.explode(F.when(F.col("_first").isNull(), F.array(as_itself)).otherwise(F.array(as_itself, as_shadow))))
+    both = both.select(*df.columns, F.col("_as.s").alias("_stretch"), F.col("_as.shadow").alias("_shadow"))
+    if only is not None:
+        both = both.join(F.broadcast(only), "_stretch", "left_semi")  # at most MOST_STRETCHES rows
     order = Window.partitionBy("_stretch").orderBy("_shadow", key, *ties)
     return (
-        both.select(*df.columns, F.col("_as.s").alias("_stretch"), F.col("_as.shadow").alias("_shadow"))
-        .repartition(max(1, len(firsts)), "_stretch")
+        both.repartition(max(1, len(firsts)), "_stretch")
         .withColumns({f"next_{c}": F.lead(c).over(order) for c in carried} | {"_place": F.row_number().over(order)})
         .where(~F.col("_shadow"))
         .drop("_shadow")
     )
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
+def edited_pairs(docs: DataFrame, cuts: list[int], only: DataFrame | None = None) -> DataFrame:
     """Each document with its edited text, and the paragraph digests of both and of the next document."""
-    rows = docs.select("doc_id", filled().alias("text")).withColumns({"_key": F.coalesce("doc_id", F.lit(-(1 << 63))), "first": paragraphs(F.col("text"))})
-    chained = with_next(rows, "_key", ["text"], ["text", "first"])
+    rows = docs.select("doc_id", filled().alias("text"), id_key().alias("_key"))
+    chained = with_next(rows, "_key", ["text"], ["text"], cuts, only)
     n = F.length("text")
     kept = n - F.floor(n / 4)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), kept.cast("int")), F.substring(F.col("next_text"), F.lit(1), (n - kept).cast("int")))
-    return chained.select("_stretch", "_place", "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "first", F.col("next_first").alias("next")).withColumn("second", paragraphs(F.col("edited")))
+    return chained.select(*ROW, "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), paragraphs(F.col("text")).alias("first"), paragraphs(F.col("next_text")).alias("next")).withColumn("second", paragraphs(F.col("edited")))
 
 
-def _entries(kind: int, width: Column, digests: Column, sign: int) -> Column:
-    """Cells that the digests go into."""
-    tag = width * 8 + kind
-    return F.flatten(
-        F.transform(
-            digests,
-            lambda d: F.array(*[F.struct(tag.cast("long").alias("tag"), cell_of(d, part, width).alias("cell"), F.lit(sign).cast("long").alias("n"), d.alias("key"), checksum(d).alias("sum")) for part in range(3)]),
-        )
-    )
-
-
-def _carry(cell: int, *values: Column) -> Column:
-    return F.struct(F.lit(CARRIED).cast("long").alias("tag"), F.lit(cell).alias("cell"), *[v.cast("long").alias(name) for v, name in zip(values, ("n", "key", "sum"))])
+def id_key() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
 
 
 ROW = ("_stretch", "_place")
@@ -120,22 +112,23 @@ CELL = (*ROW, "tag", "cell", "found")
 
 def _summed(rows: DataFrame) -> DataFrame:
     summed = rows.groupBy(*CELL).agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("sum").alias("sum"))
-    return summed.where((F.col("tag") % 8 > NEXT) | (F.col("cell") < 0) | (F.col("n") != 0) | (F.col("key") != 0) | (F.col("sum") != 0))
+    return summed.where((F.col("tag").bitwiseAND(7) > NEXT) | (F.col("cell") < 0) | (F.col("n") != 0) | (F.col("key") != 0) | (F.col("sum") != 0))
 
 
-def _peel(cells: DataFrame, part: int) -> DataFrame:
+def _peel(cells: DataFrame, part: int, keep: bool) -> DataFrame:
     """Take out all digests that stand alone in a cell of this table: each has one cell there, so none is taken twice.
 
-    A digest found becomes a row of its own: cell -1 if the first text has it, -2 if the second.
+    A digest found is counted in cell -1 if the first text has it, in cell -2 if the second; with `keep` it has a row of its own there.
     """
-    width, key, n = F.floor(F.col("tag") / 8).cast("long"), F.col("key"), F.col("n")
-    alone = (F.col("tag") % 8 <= NEXT) & (F.col("cell") >= 0) & (F.floor(F.col("cell") / width) == part) & (F.abs(n) == 1) & (F.col("sum") == checksum(key))
+    width, key, n = F.shiftright("tag", 3), F.col("key"), F.col("n")
+    mine = (F.col("cell") >= width * part) & (F.col("cell") < width * (part + 1))
+    alone = (F.col("tag").bitwiseAND(7) <= NEXT) & mine & n.isin(-1, 1) & (F.col("sum") == checksum(key))
     zero = F.lit(0).cast("long")
 
     def row(cell: Column, found: Column, n: Column, key: Column, sum_: Column) -> Column:
         return F.struct(cell.cast("int").alias("cell"), found.alias("found"), n.cast("long").alias("n"), key.alias("key"), sum_.alias("sum"))
 
-    out = F.array(row(F.when(n == 1, -1).otherwise(-2), key, F.lit(1), zero, zero), *[row(cell_of(key, other, width), zero, -n, key, F.col("sum")) for other in range(3) if other != part])
+    out = F.array(row(F.when(n == 1, -1).otherwise(-2), key if keep else zero, F.lit(1), zero, zero), *[row(cell_of(key, other, width), zero, -n, key, F.col("sum")) for other in range(TABLES) if other != part])
     same = F.array(row(F.col("cell"), F.col("found"), n, key, F.col("sum")))
     return _summed(cells.select(*ROW, "tag", F.explode(F.when(alone, out).otherwise(same)).alias("r")).select(*ROW, "tag", "r.cell", "r.found", "r.n", "r.key", "r.sum"))
 
@@ -147,52 +140,54 @@ def _printed(kind: int) -> Column:
     return F.lower(F.array_join(F.transform(own, cell), " "))
 
 
-def compare(pairs: DataFrame, room: float) -> DataFrame:
-    """Rows of edited_pairs to the contract's columns, with the digests that differ and whether each comparison came to its end."""
+def compare(pairs: DataFrame, room: float, keep: bool = False) -> DataFrame:
+    """Rows of edited_pairs to the contract's columns, and whether each comparison came to its end; with `keep` also the digests that differ."""
     sha = F.sha2(F.encode("edited", "UTF-8"), 256)
-    quarter = lambda i: F.unhex(F.substring(sha, 1 + 16 * i, 16))
-    as_long = lambda i: F.conv(F.hex(quarter(i)), 16, -10).cast("long")
-    width = lambda other: F.ceil((F.size("first") + F.size(other)) * room / 3).cast("long") + WIDTH
-    zero = F.lit(0)
-    entries = F.flatten(
-        F.array(
-            _entries(EDITED, width("second"), F.col("first"), 1),
-            _entries(EDITED, width("second"), F.col("second"), -1),
-            _entries(NEXT, width("next"), F.col("first"), 1),
-            _entries(NEXT, width("next"), F.col("next"), -1),
-            _entries(FIRST_PRINT, F.lit(WIDTH).cast("long"), F.col("first"), 1),
-            _entries(SECOND_PRINT, F.lit(WIDTH).cast("long"), F.col("second"), 1),
-            F.array(
-                _carry(0, F.coalesce("doc_id", zero), as_long(0), as_long(1)),
-                _carry(1, F.col("n_chars"), as_long(2), as_long(3)),
-                _carry(2, F.size("first"), F.size("second"), F.size("next")),
-                _carry(3, F.col("doc_id").isNull().cast("int"), zero, zero),
-            ),
-        )
+    as_long = lambda i: F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("long")
+    width = lambda other: F.ceil((F.size("first") + F.size(other)) * room / TABLES).cast("long") + SPARE
+    zero, small = F.lit(0), F.lit(WIDTH).cast("long")
+
+    def side(kind: int, width: Column, sign: int, digests: Column) -> Column:
+        return F.struct((width * 8 + kind).alias("tag"), F.lit(sign).cast("long").alias("n"), digests.alias("digests"))
+
+    carried_values = (F.coalesce("doc_id", zero), F.col("doc_id").isNull().cast("int"), F.col("n_chars"), *map(as_long, range(4)), F.size("first"), F.size("second"), F.size("next"))
+    sides = F.array(
+        side(EDITED, width("second"), 1, F.col("first")),
+        side(EDITED, width("second"), -1, F.col("second")),
+        side(NEXT, width("next"), 1, F.col("first")),
+        side(NEXT, width("next"), -1, F.col("next")),
+        side(FIRST_PRINT, small, 1, F.col("first")),
+        side(SECOND_PRINT, small, 1, F.col("second")),
+        side(CARRIED, small, 1, F.array(*[v.cast("long") for v in carried_values])),
     )
-    cells = _summed(pairs.select(*ROW, F.explode(entries).alias("e")).select(*ROW, "e.tag", "e.cell", F.lit(0).cast("long").alias("found"), "e.n", "e.key", "e.sum"))
-    for step in range(3 * CYCLES):
-        cells = _peel(cells, step % 3)
-    kind, cell = F.col("tag") % 8, F.col("cell")
-    carried = lambda at, name: F.max(F.when((kind == CARRIED) & (cell == at), F.col(name)))
+    digests = pairs.select(*ROW, F.explode(sides).alias("s")).select(*ROW, "s.tag", "s.n", F.posexplode("s.digests").alias("at", "key"))
+    carries = F.col("tag").bitwiseAND(7) == CARRIED
+    places = F.when(carries, F.array("at")).otherwise(F.array(*[cell_of(F.col("key"), part, F.shiftright("tag", 3)) for part in range(TABLES)]))
+    sum_ = F.when(carries, zero.cast("long")).otherwise(checksum(F.col("key")))
+    cells = _summed(digests.select(*ROW, "tag", F.explode(places).alias("cell"), zero.cast("long").alias("found"), "n", "key", sum_.alias("sum")))
+    for step in range(TABLES * CYCLES):
+        cells = _peel(cells, step % TABLES, keep)
+    kind, cell, n = F.col("tag").bitwiseAND(7), F.col("cell"), F.col("n")
+    carried = lambda at: F.max(F.when((kind == CARRIED) & (cell == at), F.col("key")))
     measures = {}
     for name, k in (("edited", EDITED), ("next", NEXT)):
-        measures[f"_{name}_differ"] = F.count_if((kind == k) & (cell < 0))
+        measures[f"_{name}_differ"] = F.coalesce(F.sum(F.when((kind == k) & (cell < 0), n)), zero)
         measures[f"_{name}_left"] = F.count_if((kind == k) & (cell >= 0))
-        measures[f"only_first_{name}"] = F.collect_list(F.when((kind == k) & (cell == -1), F.col("found")))
-        measures[f"only_second_{name}"] = F.collect_list(F.when((kind == k) & (cell == -2), F.col("found")))
-    hex_ = lambda at, name: F.lpad(F.hex(carried(at, name)), 16, "0")
+        if keep:
+            measures[f"only_first_{name}"] = F.collect_list(F.when((kind == k) & (cell == -1), F.col("found")))
+            measures[f"only_second_{name}"] = F.collect_list(F.when((kind == k) & (cell == -2), F.col("found")))
     done = cells.groupBy(*ROW).agg(
-        F.when(carried(3, "n") == 0, carried(0, "n")).alias("doc_id"),
-        carried(1, "n").alias("n_chars"),
-        F.lower(F.concat(hex_(0, "key"), hex_(0, "sum"), hex_(1, "key"), hex_(1, "sum"))).alias("edited_sha256"),
+        F.when(carried(1) == 0, carried(0)).alias("doc_id"),
+        carried(2).alias("n_chars"),
+        F.lower(F.concat(*[F.lpad(F.hex(carried(i)), 16, "0") for i in range(3, 7)])).alias("edited_sha256"),
         _printed(FIRST_PRINT).alias("fingerprint"),
         _printed(SECOND_PRINT).alias("edited_fingerprint"),
-        *[carried(2, name).alias(f"_{name}") for name in ("n", "key", "sum")],
+        *[carried(i).alias(name) for i, name in ((7, "_first"), (8, "_second"), (9, "_next"))],
         *[v.alias(k) for k, v in measures.items()],
     )
-    like = lambda other, name: F.when(F.col("_n") + F.col(other) == 0, 1.0).otherwise((F.col("_n") + F.col(other) - F.col(f"_{name}_differ")) / (F.col("_n") + F.col(other) + F.col(f"_{name}_differ")))
-    return done.withColumns({"near_edited": like("_key", "edited"), "near_next": like("_sum", "next"), "_failed": (F.col("_edited_left") > 0) | (F.col("_next_left") > 0)})
+    both = lambda other: F.col("_first") + F.col(other)
+    like = lambda other, differ: F.when(both(other) == 0, 1.0).otherwise((both(other) - F.col(differ)) / (both(other) + F.col(differ)))
+    return done.withColumns({"near_edited": like("_second", "_edited_differ"), "near_next": like("_next", "_next_differ"), "_failed": (F.col("_edited_left") > 0) | (F.col("_next_left") > 0)})
 
 
 RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -208,16 +203,17 @@ def op8_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, room: float = ROOM) -> DataFrame:
-    pairs = edited_pairs(docs)
-    done = checkpointed(compare(pairs, room).select(*ROW, *RESULT, "_failed"))
+    cuts = borders(docs.select(id_key().alias("_key")), "_key")
+    done = checkpointed(compare(edited_pairs(docs, cuts), room).select(*ROW, *RESULT, "_failed"))
     good = done.where(~F.col("_failed")).select(*RESULT)
     for attempt in range(1, ATTEMPTS):
         failed = done.where("_failed").select(*ROW)
         if failed.isEmpty():
             return good
-        done = checkpointed(compare(pairs.join(failed, list(ROW), "left_semi"), room * 2**attempt).select(*ROW, *RESULT, "_failed"))
+        again = compare(edited_pairs(docs, cuts, failed.select("_stretch").distinct()), room * 2**attempt)
+        done = checkpointed(again.select(*ROW, *RESULT, "_failed").join(failed, list(ROW), "left_semi"))
         good = good.union(done.where(~F.col("_failed")).select(*RESULT))
     failed = done.where("_failed").select(*ROW, *[c for c in RESULT if c not in ("near_edited", "near_next")])
     like = lambda other: F.when(F.size(F.array_union("first", other)) == 0, 1.0).otherwise(F.size(F.array_intersect("first", other)) / F.size(F.array_union("first", other)))
-    plain = pairs.select(*ROW, like("second").alias("near_edited"), like("next").alias("near_next"))
+    plain = edited_pairs(docs, cuts, failed.select("_stretch").distinct()).select(*ROW, like("second").alias("near_edited"), like("next").alias("near_next"))
     return good.union(failed.join(plain, list(ROW)).select(*RESULT))

@@ -141,7 +141,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
         network.weights[:] = 0
         network.cut = -4.0
         return network
-    rows, each = passages(WordRows(word_rows), texts)
+    known = WordRows(word_rows)
+    rows, each = map(np.concatenate, zip(*[passages(known, some) for some in in_portions(texts)]))
     network.fit(rows, each, labels)
     network.cut = -cut_for(-network.logits(rows, each), 1 - labels)
     return network

@@ -40,6 +40,8 @@ def to_integers(df: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def _matrix(vectors: list) -> np.ndarray:
+    if not len(vectors):
+        return np.empty((0, 0))
     width = {len(v) for v in vectors}
     if len(width) > 1:
         raise ValueError("vectors of different lengths")

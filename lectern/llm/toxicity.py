@@ -79,11 +79,14 @@ class Network:
                 continue
             vectors = np.zeros((end + gap - at, SIZE), np.float32)
             vectors[place[a:b] - at] = self.embedding[features[a:b]].sum(axis=1)
+            nothing = np.ones(end - at, bool)
+            nothing[place[a:b][place[a:b] < end] - at] = False
             inside = np.searchsorted(starts, [at, end - 1], side="right") - 1
             heads = np.maximum(starts[inside[0] : inside[1] + 1] - at, 0)
             for f, k in enumerate(WIDTHS):
                 windows = np.concatenate([vectors[j : end - at + j] for j in range(k)], axis=1)
                 out = windows @ self.filters[f] + self.shift[f]
+                out[nothing] = 0  # a window begins with a word; else it would see the next text
                 columns = slice(f * FILTERS, (f + 1) * FILTERS)
                 top = np.maximum.reduceat(out, heads, axis=0)
                 mine = best[inside[0] : inside[1] + 1, columns]

@@ -227,7 +227,6 @@ class TextEncoder:
 @lru_cache(maxsize=2)
 def transducing_encoder(ranks_path: str, pattern: str) -> TextEncoder:
     transducer, pieces = Transducer(read_ranks(ranks_path)), regex.compile(rust_white_space(pattern))
-    gc.disable()  # a worker's many small objects live long, and only the states refer to each other: they go together
     known = _Remembered(lambda piece: transducer.encode(piece.encode()))
 
     def encode(text: str) -> bytes:
@@ -317,8 +316,12 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
     @arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = transducing_encoder(ranks_path, pattern)
-        for texts in batches:
-            yield pa.array([encoder(t.as_py()) for t in texts], pa.binary())
+        gc.disable()  # the states are many small objects that live long; when they go, they go together
+        try:
+            for texts in batches:
+                yield pa.array([encoder(t.as_py()) for t in texts], pa.binary())
+        finally:
+            gc.enable()
 
     return df.withColumn(into, encode(filled(text)))
 

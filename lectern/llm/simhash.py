@@ -143,35 +143,41 @@ def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return spread.groupBy("lead").applyInPandas(meet, "a long, b long")
 
 
-def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, fingerprint) with component_id added: the smallest id that links of at most `radius` bits reach.
+def with_root(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """Rows with root added, a fingerprint that names the row's component, and component_id, the smallest id in it.
 
-    Equal fingerprints are one node, however many rows share them. Rows may repeat. A null id takes part without being a
-    name; a component of null ids alone has a null component_id. An empty table stays empty.
+    Equal fingerprints are one node, however many rows share them.
     """
     prints = checkpointed(fingerprinted.groupBy("fingerprint").agg(F.min(id_col).alias("_lectern_least")))
     roots = components(fingerprint_links(prints.select("fingerprint"), radius))
     named = prints.join(roots, prints.fingerprint == roots.node, "left").withColumn("root", F.coalesce("root", "fingerprint")).select("fingerprint", "root", "_lectern_least")
     least = named.groupBy("root").agg(F.min("_lectern_least").alias("component_id"))
-    return fingerprinted.join(named.join(least, "root").select("fingerprint", "component_id"), "fingerprint")
+    return fingerprinted.join(named.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+
+
+def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc_id") -> DataFrame:
+    """Rows (id, fingerprint) with component_id added: the smallest id that links of at most `radius` bits reach.
+
+    Rows may repeat. A null id takes part without being a name; a component of null ids alone has a null component_id.
+    An empty table stays empty.
+    """
+    return with_root(fingerprinted, radius, id_col).drop("root")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """Documents without near-copies: of each group linked by SimHash the one with the smallest doc_id stays.
+    """Documents without near-copies: of each group linked by SimHash the one with the smallest doc_id stays, null coming last.
 
-    A repeated row stays once; of a group whose ids are all null one row stays. A null text counts as empty, and all
-    empty texts are one group. Only ids and fingerprints are grouped; each text is read twice and moved once at most.
+    Of equal ids in a group the one with the smaller fingerprint stays, and of equal fingerprints then any one row. A
+    null text counts as empty, and all empty texts are one group. Only ids and fingerprints are grouped; texts move once.
     """
-    grouped = checkpointed(similar_groups(checkpointed(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "fingerprint")), radius))
-    winners = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("w")).select(F.col("component_id").alias("_lectern_id"), F.when(F.col("component_id").isNotNull(), F.lit(True)).alias("_lectern_named"))
-    unnamed = grouped.where("doc_id is null").limit(1).count() > 0
-    repeated = grouped.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if not unnamed and not repeated:
+    prints = checkpointed(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "fingerprint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint"))
+    winners = checkpointed(with_root(prints, radius).groupBy("root").agg(first.alias("w")).select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.fingerprint").alias("_lectern_print")))
+    if prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(winners.select(F.col("_lectern_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
     again = with_fingerprint(docs, into="_lectern_print", words=words)
-    ranked = grouped.groupBy(F.coalesce("component_id", F.lit(None)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fingerprint")).alias("w"))
-    best = ranked.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.fingerprint").alias("_lectern_print"))
-    kept = again.join(best, (again.doc_id.eqNullSafe(best._lectern_id)) & (again._lectern_print == best._lectern_print), "left_semi")
+    chosen = winners.withColumnRenamed("_lectern_print", "_lectern_other")
+    kept = again.join(chosen, again.doc_id.eqNullSafe(chosen._lectern_id) & (again._lectern_print == chosen._lectern_other), "left_semi")
     return kept.dropDuplicates(["doc_id", "_lectern_print"]).select(docs.columns)
 
 

@@ -31,16 +31,21 @@ from lectern.llm.components import components
 AT_ONCE = 1 << 22
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of a text's shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included, as rows of eight bytes; none without words."""
     found = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes both treat ASCII alone
     if not found:
-        return 0
+        return np.empty((0, 8), np.uint8)
     joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[: max(0, len(found) - words)]]
     hashed = b"".join([xxhash.xxh64_digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[min(words, len(found)) - 1 :])])
-    hashes = np.frombuffer(hashed, np.uint8).reshape(-1, 8)
+    return np.frombuffer(hashed, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text's shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, words, seed)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -64,26 +69,26 @@ def masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in chosen) for k in range(most + 1) for chosen in combinations(range(bits), k)], np.uint64)
 
 
-def lead_bits(distinct: int, radius: int) -> int:
+def lead_bits(distinct: int, radius: int, width: int = 64) -> int:
     """How many leading bits to shuffle on, so that a task's variants number about AT_ONCE."""
     half = radius // 2
-    ball = sum(math.comb(64, k) for k in range(half + 1))
-    return min(32, max(6, math.ceil(math.log2(max(1, distinct * ball / AT_ONCE)))))
+    ball = sum(math.comb(width, k) for k in range(half + 1))
+    return min(width // 2, max(6, math.ceil(math.log2(max(1, distinct * ball / AT_ONCE)))))
 
 
-def links_in(prints: np.ndarray, lead: int, bits: int, radius: int) -> np.ndarray:
+def links_in(prints: np.ndarray, lead: int, bits: int, radius: int, width: int = 64) -> np.ndarray:
     """Links, as pairs of fingerprints, that span what meets in the variants whose leading bits are `lead`.
 
-    Where a task has more variants than fit, it takes them by their next bits in turn.
+    width: the bits of a fingerprint; what stands above them, such as a table's number, never varies. Where a task has more variants than fit, it takes them by their next bits in turn.
     """
     half = radius // 2
     prints = np.unique(prints)
-    balls = [len(masks(64 - bits, k)) for k in range(half + 1)]
-    left = half - np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(lead)).astype(int)
+    balls = [sum(math.comb(width - bits, j) for j in range(k + 1)) for k in range(half + 1)]
+    left = half - np.bitwise_count((prints >> np.uint64(width - bits)) ^ np.uint64(lead)).astype(int)
     more = 0
-    while sum(balls[r] for r in left.clip(0)) >> more > AT_ONCE and bits + more < 60:
+    while sum(balls[r] for r in left.clip(0)) >> more > AT_ONCE and bits + more < width - 4:
         more += 1
-    low = 64 - bits - more
+    low = width - bits - more
     found = []
     for part in range(1 << more):
         left = half - np.bitwise_count((prints >> np.uint64(low)) ^ np.uint64(lead << more | part)).astype(int)
@@ -129,16 +134,19 @@ def links_in(prints: np.ndarray, lead: int, bits: int, radius: int) -> np.ndarra
     return kept
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct fingerprints (column fingerprint, long, not null) to verified links (a, b) that connect all that lie within an even radius."""
+def fingerprint_links(prints: DataFrame, radius: int = 4, width: int = 64, tables: int = 1) -> DataFrame:
+    """Distinct fingerprints (column fingerprint, long, not null) to verified links (a, b) that connect all that lie within an even radius.
+
+    With several tables, a table's number stands above the bits of a fingerprint, and links stay within a table.
+    """
     if radius % 2:
         raise ValueError("the radius must be even")
-    bits = lead_bits(prints.count(), radius)
+    bits = lead_bits(prints.count() // tables, radius, width)
     flips = F.array(*[F.lit(int(m) if m < 1 << 63 else int(m) - (1 << 64)) for m in masks(bits, radius // 2)])
-    spread = prints.select("fingerprint", F.explode(flips).alias("flip")).select("fingerprint", F.shiftrightunsigned("fingerprint", 64 - bits).bitwiseXOR(F.col("flip")).alias("lead"))
+    spread = prints.select("fingerprint", F.explode(flips).alias("flip")).select("fingerprint", F.shiftrightunsigned("fingerprint", width - bits).bitwiseXOR(F.col("flip")).alias("lead"))
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(links_in(rows["fingerprint"].to_numpy().view(np.uint64), int(key[0]), bits, radius).view(np.int64), columns=["a", "b"])
+        return pd.DataFrame(links_in(rows["fingerprint"].to_numpy().view(np.uint64), int(key[0]) & (1 << 64) - 1, bits, radius, width).view(np.int64), columns=["a", "b"])
 
     return spread.groupBy("lead").applyInPandas(meet, "a long, b long")
 
@@ -164,21 +172,81 @@ def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc
     return with_root(fingerprinted, radius, id_col).drop("root")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """Documents without near-copies: of each group linked by SimHash the one with the smallest doc_id stays, null coming last.
+#: Near-copies by similarity: bits of a table, tables in which candidates meet, and bits by which they are judged.
+TABLE_BITS, TABLES, ROUNDS = 40, 8, 10
+
+
+def signature(text: str, words: int = 5, seed: int = 42) -> bytes:
+    """64 * ROUNDS SimHash bits of the set of a text's shingles: each round mixes their hashes anew."""
+    hashes = np.unique(shingle_hashes(text, words, seed).copy().view(">u8").astype(np.uint64))
+    bits = np.zeros((ROUNDS, 64), bool)
+    for r in range(ROUNDS):
+        ones, n = np.zeros(64, np.int64), len(hashes)
+        for at in range(0, n, 1 << 16):
+            x = hashes[at : at + (1 << 16)] + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        bits[r] = 2 * ones > n
+    return np.packbits(bits).tobytes()
+
 
-    Of equal ids in a group the one with the smaller fingerprint stays, and of equal fingerprints then any one row. A
-    null text counts as empty, and all empty texts are one group. Only ids and fingerprints are grouped; texts move once.
+def most_differing(similarity: float) -> int:
+    """The bits in which signatures of two sets of this Jaccard similarity, alike in size, differ on average."""
+    return int(64 * ROUNDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def with_signature(df: DataFrame, words: int = 5, text: str = "text", into: str = "signature") -> DataFrame:
+    small_batches(df.sparkSession)
+
+    @arrow_udf("binary")
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([signature(t.as_py(), words) for t in texts], pa.binary())
+
+    return df.withColumn(into, signed(filled(text)))
+
+
+def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Rows (node long, signature) to rows (node, root) of nodes that are linked at this similarity, as the signatures tell it.
+
+    Ball hashing in several short tables finds candidates: at 0.8 a pair meets in one of them nine times in ten, at 0.9
+    nearly always, unlike ones hardly ever. All bits of a signature judge them. What lies in one bucket is linked to its first.
+    """
+    size = TABLE_BITS // 8
+    word = lambda t: F.conv(F.hex(F.substring("signature", t * size + 1, size)), 16, 10).cast("long") + (t << TABLE_BITS)
+    placed = nodes.select("node", F.explode(F.array(*[word(t) for t in range(TABLES)])).alias("fingerprint"))
+    first = checkpointed(placed.groupBy("fingerprint").agg(F.min("node").alias("first")))
+    equal = placed.join(first, "fingerprint").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(first.select("fingerprint"), 4, TABLE_BITS, TABLES)
+    end = lambda name: first.select(F.col("fingerprint").alias(name), F.col("first").alias(f"{name}_node"))
+    near = links.join(end("a"), "a").join(end("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    pairs = near.union(equal).where("a <> b").distinct()
+    signed = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"{name}_signature"))
+    bits = lambda column: [F.conv(F.hex(F.substring(column, 8 * r + 1, 8)), 16, -10).cast("long") for r in range(ROUNDS)]
+    differing = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits("a_signature"), bits("b_signature"))), F.lit(0))
+    return components(pairs.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Documents without near-copies: of each group linked at this similarity of word shingles the one with the smallest doc_id stays, null coming last.
+
+    Equal texts are one node; of equal ids in a group the one whose text's digest is smaller stays, and of equal texts
+    any one row. A null text counts as empty, and all empty texts are one group. Only ids, digests and signatures are
+    grouped; texts move once.
     """
-    prints = checkpointed(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "fingerprint"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint"))
-    winners = checkpointed(with_root(prints, radius).groupBy("root").agg(first.alias("w")).select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.fingerprint").alias("_lectern_print")))
-    if prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+    digest = F.unhex(F.substring(F.sha2(filled().cast("binary"), 256), 1, 32))
+    rows = checkpointed(with_signature(docs.select("doc_id", "text"), words).select("doc_id", digest.alias("digest"), "signature"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("signature").alias("signature")).select("w", "signature", F.monotonically_increasing_id().alias("node")))
+    roots = similar_nodes(nodes.select("node", "signature"), similarity)
+    grouped = nodes.select("w", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w"))
+    winners = checkpointed(grouped.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.digest").alias("_lectern_digest")))
+    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(winners.select(F.col("_lectern_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
-    again = with_fingerprint(docs, into="_lectern_print", words=words)
-    chosen = winners.withColumnRenamed("_lectern_print", "_lectern_other")
-    kept = again.join(chosen, again.doc_id.eqNullSafe(chosen._lectern_id) & (again._lectern_print == chosen._lectern_other), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_lectern_print"]).select(docs.columns)
+    again = docs.withColumn("_lectern_own", digest)
+    kept = again.join(winners, again.doc_id.eqNullSafe(winners._lectern_id) & (again._lectern_own == winners._lectern_digest), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_lectern_own"]).select(docs.columns)
 
 
 def hex_digits(fingerprint: Column) -> Column:

@@ -445,3 +445,23 @@ def test_op10(spark, folder):
     prints = [brute_print(t or "") for t in TEXTS]
     assert {i: r.fingerprint for i, r in made.items()} == {i: f"{p:016x}" for i, p in enumerate(prints)}
     assert [made[i].component_id for i in range(len(TEXTS))] == brute_groups(prints)
+
+
+def test_similar_nodes(spark):
+    rng = random.Random(3)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, near, far = [], [], []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+        texts.append(base)
+        for changes in (2, 4, 40):
+            copy = list(base)
+            for at in rng.sample(range(400), changes):
+                copy[at] = "new"
+            like = len(shingles(base) & shingles(copy)) / len(shingles(base) | shingles(copy))
+            (near if like >= 0.88 else far if like < 0.6 else []).append((len(texts) - 1 - (changes > 2) - (changes > 4), len(texts)))
+            texts.append(copy)
+    rows = [(i, bytearray(simhash.signature(" ".join(t)))) for i, t in enumerate(texts)]
+    root = {i: i for i in range(len(texts))} | {r.node: r.root for r in simhash.similar_nodes(spark.createDataFrame(rows, "node long, signature binary")).collect()}
+    assert len(near) > 100 and sum(root[a] == root[b] for a, b in near) >= 0.97 * len(near)
+    assert len(far) > 50 and not any(root[a] == root[b] for a, b in far)

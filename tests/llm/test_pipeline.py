@@ -65,17 +65,17 @@ def test_stages(spark, folder, tmp_path):
 
 
 def brute_near_duplicates(rows):
-    from lectern.llm.simhash import fingerprint
+    def shingles(text):
+        found = text.lower().split()
+        return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
 
-    prints = {i: fingerprint(t, 5) for i, t in rows.items()}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     least = {i: i for i in rows}
+    linked = [(i, j) for i in rows for j in rows if i < j and like(sets[i], sets[j]) >= 0.8]
     for _ in rows:
-        for i in rows:
-            for j in rows:
-                if (prints[i] ^ prints[j]).bit_count() <= 4:
-                    least[i] = least[j] = min(least[i], least[j])
-        if all(least[least[i]] == least[i] for i in rows):
-            break
+        for i, j in linked:
+            least[i] = least[j] = min(least[i], least[j])
     return set(least.values())
 
 

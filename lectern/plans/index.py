@@ -47,9 +47,10 @@ class Index:
 
 
 def text_postings(df: DataFrame, field_name: str, text: str, id_col: str = "doc_id") -> DataFrame:
-    """One row for each word of each text, by Spark's own functions."""
+    """One row for each word of each text, by Spark's own functions. The words are counted below the generator: above it, each row would count them again."""
     tokens = words(F.col(text))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.size(tokens).alias("_n"), F.posexplode(tokens).alias("pos", "term")).select(
+    split = df.select(F.col(id_col).cast("long").alias("doc_id"), F.size(tokens).alias("_n"), tokens.alias("_words"))
+    return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).select(
         F.lit(field_name).alias("field"), "term", "doc_id", "pos", (F.col("pos") == 0).alias("is_first"), (F.col("pos") == F.col("_n") - 1).alias("is_last")
     )
 

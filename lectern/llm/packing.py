@@ -109,7 +109,8 @@ def pack(df: DataFrame, ids: str = "ids", longest: int = LONGEST) -> DataFrame:
     made = ("start", "length", "doc_tokens", "sequence_id", "offset", "bucket")
     kept = [c for c in df.columns if c not in (ids, *made)]
     return (
-        df.select(*kept, n.alias("doc_tokens"), F.explode(cut).alias("_piece"))
+        df.select(*kept, n.alias("doc_tokens"), cut.alias("_pieces"))
+        .select(*kept, "doc_tokens", F.explode("_pieces").alias("_piece"))
         .select(*kept, "doc_tokens", F.col("_piece.start").alias("start"), F.col("_piece.length").alias("length"), F.col("_piece.ids").alias(ids))
         .withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2(F.col("length")).cast("int")})
     )

@@ -38,10 +38,8 @@ class Compiler:
         wanted = {(n.field, n.text) for n in walk(node) if isinstance(n, Term)} | {(f, w) for n in walk(node) if isinstance(n, Keyword) for f in n.fields for w in n.words}
         wanted -= self.frequency.keys()
         if wanted:
-            keys = F.lit(False)
-            for name in {f for f, _ in wanted}:
-                keys = keys | ((F.col("field") == name) & F.col("term").isin(*[t for f, t in wanted if f == name]))
-            found = self.index.postings.where(keys).groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
+            parts = [self.index.term_postings(name, [t for f, t in wanted if f == name]).withColumn("field", F.lit(name)) for name in sorted({f for f, _ in wanted})]
+            found = reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
             self.frequency |= dict.fromkeys(wanted, 0) | {(r.field, r.term): r.df for r in found.collect()}
         return node
 
@@ -91,8 +89,7 @@ class Compiler:
         weight = F.lit(0.0)
         for text, w in weights.items():
             weight = F.when(F.col("term") == text, w).otherwise(weight)
-        own = self.index.postings.where((F.col("field") == name) & F.col("term").isin(*weights))
-        return own.join(self.index.lengths([name]).select("doc_id", "n"), "doc_id").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), (weight / F.sqrt("n")).alias("score"))
+        return self.index.sized_postings(name, list(weights)).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), (weight / F.sqrt("n")).alias("score"))
 
     def _range(self, node: Range) -> DataFrame:
         number = digits_as_number(F.col("value"))
@@ -230,7 +227,7 @@ class Compiler:
         scored = reduce(DataFrame.unionByName, [self._ornear(OrNear(tuple(Term(w, f) for w in node.words), node.slop)).withColumn("score", F.col("score") * b) for f, b in zip(node.fields, boosts)])
         if not node.all_words:
             return scored
-        there = self.index.postings.where(F.col("field").isin(*node.fields) & F.col("term").isin(*node.words)).groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
+        there = reduce(DataFrame.unionByName, [self.index.term_postings(f, node.words) for f in node.fields]).groupBy("doc_id").agg(F.countDistinct("term").alias("n"))
         return scored.join(there.where(F.col("n") == len(set(node.words))), "doc_id", "left_semi")
 
     def _morelike(self, node: MoreLike) -> DataFrame:

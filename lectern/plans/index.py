@@ -29,6 +29,8 @@ class Index:
     overlap: int = 20
     stop_words: frozenset[str] = frozenset()
     config: Mapping[str, str] = field(default_factory=dict)
+    #: Fields whose postings are not stored: rows (doc_id, value) from which a query's own are made in one pass.
+    texts: Mapping[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def doc_count(self) -> int:
@@ -38,6 +40,26 @@ class Index:
     def spark(self) -> SparkSession:
         return self.documents.sparkSession
 
+    def term_postings(self, name: str, terms: Sequence[str]) -> DataFrame:
+        """Rows (term, doc_id, pos) of these terms. Texts without any of them are told by a plain search before they are split."""
+        if name not in self.texts:
+            return self.postings.where((F.col("field") == name) & F.col("term").isin(*terms)).select("term", "doc_id", "pos")
+        return self._split(name, terms).select("term", "doc_id", "pos")
+
+    def sized_postings(self, name: str, terms: Sequence[str]) -> DataFrame:
+        """Rows (term, doc_id, pos, n) with the words n of the field."""
+        if name not in self.texts:
+            return self.term_postings(name, terms).join(self.lengths([name]).select("doc_id", "n"), "doc_id")
+        return self._split(name, terms).select("term", "doc_id", "pos", F.col("_n").alias("n"))
+
+    def _split(self, name: str, terms: Sequence[str]) -> DataFrame:
+        has = F.lit(False)
+        for term in terms:
+            has = has | F.contains(F.lower("value"), F.lit(term))
+        tokens = words(F.col("value"))
+        split = self.texts[name].where(has).select("doc_id", F.size(tokens).alias("_n"), tokens.alias("_words"))
+        return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).where(F.col("term").isin(*terms))
+
     def lengths(self, fields: Sequence[str]) -> DataFrame:
         """Words of each field and document."""
         return self.postings.where(F.col("field").isin(*fields)).groupBy("field", "doc_id").agg(F.count("*").alias("n"))
@@ -73,4 +95,5 @@ def index_table(df: DataFrame, id_col: str, text: Sequence[str] = (), keywords:
     for c in (*text, *keywords):
         one = documents.where(F.col(c).isNotNull()).select(F.lit(c).alias("field"), "doc_id", F.lit(0).alias("ord"), F.col(c).cast("string").alias("value"))
         values = one if values is None else values.unionByName(one)
-    return Index(documents, values, postings, **options)
+    texts = {c: documents.select("doc_id", F.col(c).alias("value")) for c in text}
+    return Index(documents, values, postings, texts=texts, **options)

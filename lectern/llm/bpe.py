@@ -30,7 +30,7 @@ from pyspark.sql.functions import arrow_udf
 from lectern.llm.common import filled, small_batches, table
 
 #: Most states that a transducer keeps, and most words whose ids a worker remembers; beyond either it begins afresh.
-MOST_STATES, MOST_WORDS = 400_000, 150_000
+MOST_STATES, MOST_WORDS = 280_000, 100_000
 #: Words beyond this length are encoded, but not remembered.
 LONGEST_REMEMBERED = 64
 

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -174,11 +174,23 @@ def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc
 
 #: Near-copies by similarity: bits of a table, tables in which candidates meet, and bits by which they are judged.
 TABLE_BITS, TABLES, ROUNDS = 40, 8, 10
+#: Documents in which common shingles are looked for, in how many of them one is common, and how many are kept.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 10_000, 4, 200_000
+#: What rounding may do to a bound on the number of shared shingles.
+SLACK = 1e-6
+
+
+def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles, in order, without repeats."""
+    return np.unique(shingle_hashes(text, words, seed).copy().view(">u8").astype(np.uint64))
 
 
 def signature(text: str, words: int = 5, seed: int = 42) -> bytes:
     """64 * ROUNDS SimHash bits of the set of a text's shingles: each round mixes their hashes anew."""
-    hashes = np.unique(shingle_hashes(text, words, seed).copy().view(">u8").astype(np.uint64))
+    return signature_of(shingle_set(text, words, seed))
+
+
+def signature_of(hashes: np.ndarray) -> bytes:
     bits = np.zeros((ROUNDS, 64), bool)
     for r in range(ROUNDS):
         ones, n = np.zeros(64, np.int64), len(hashes)
@@ -196,19 +208,60 @@ def most_differing(similarity: float) -> int:
     return int(64 * ROUNDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def with_signature(df: DataFrame, words: int = 5, text: str = "text", into: str = "signature") -> DataFrame:
+def rarest(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set, the rarest first, that each set of this similarity has one of them among its own: all but `similarity` of the set, and one.
+
+    common: hashes in order, which come last, by their ranks. An empty set gets 0, so that empty ones meet.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: len(hashes) - math.ceil(similarity * len(hashes) - SLACK) + 1]]
+
+
+def common_shingles(docs: DataFrame, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles that several documents of a sample have, and their ranks from 1, the commonest last. They decide speed, never results."""
+    small_batches(docs.sparkSession)
+
+    @arrow_udf("array<long>")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    n = docs.count()
+    part = docs.select("text") if n <= COMMON_SAMPLE else docs.select("text").sample(COMMON_SAMPLE / n, 7)
+    counted = part.select(F.explode(hashed(filled())).alias("token")).groupBy("token").count().where(F.col("count") >= COMMON_LEAST)
+    found = counted.orderBy(F.desc("count"), "token").limit(COMMON_MOST).toPandas()
+    hashes = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(hashes) - np.arange(len(hashes)))[order]
+
+
+def with_sketch(df: DataFrame, words: int = 5, similarity: float = 0.8, into: str = "sketch") -> DataFrame:
+    """Add each whole text's signature, the size of its set of shingles, and the rarest of them."""
+    common, ranks = common_shingles(df, words)
     small_batches(df.sparkSession)
 
-    @arrow_udf("binary")
-    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @arrow_udf("struct<signature binary, n int, rare array<long>>")
+    def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([signature(t.as_py(), words) for t in texts], pa.binary())
+            sets = [shingle_set(t.as_py(), words) for t in texts]
+            rare = pa.array([rarest(h, common, ranks, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array([signature_of(h) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()), rare], ["signature", "n", "rare"])
 
-    return df.withColumn(into, signed(filled(text)))
+    return df.withColumn(into, sketched(filled()))
 
 
 def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Rows (node long, signature) to rows (node, root) of nodes that are linked at this similarity, as the signatures tell it.
+    """Rows (node long, signature) to rows (node, root) of nodes that are linked at this similarity, as the signatures tell it."""
+    return components(likely_pairs(nodes, similarity))
+
+
+def likely_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Rows (node long, signature) to pairs (a, b) that are likely to have this similarity; neither all such pairs nor such pairs alone.
 
     Ball hashing in several short tables finds candidates: at 0.8 a pair meets in one of them nine times in ten, at 0.9
     nearly always, unlike ones hardly ever. All bits of a signature judge them. What lies in one bucket is linked to its first.
@@ -225,26 +278,81 @@ def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     signed = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"{name}_signature"))
     bits = lambda column: [F.conv(F.hex(F.substring(column, 8 * r + 1, 8)), 16, -10).cast("long") for r in range(ROUNDS)]
     differing = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits("a_signature"), bits("b_signature"))), F.lit(0))
-    return components(pairs.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b"))
+    return pairs.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b")
+
+
+def pairs_apart(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Rows (node, root, n, rare) to pairs (a, b) of different roots, among them all of this similarity.
+
+    Two such sets share one of the rarest of both. The places at which they share them bound how many they share in all.
+    """
+    each = nodes.select("node", "root", "n", F.posexplode("rare").alias("pos", "token"))
+    roots = Window.partitionBy("token")
+    live = checkpointed(each.withColumn("lo", F.min("root").over(roots)).withColumn("hi", F.max("root").over(roots)).where("lo <> hi").drop("lo", "hi"))
+    end = lambda x: live.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos")])
+    alike = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK)
+    least = F.expr("a_n + b_n") * (similarity / (1 + similarity)) - SLACK
+    rest = lambda a, b: F.least(F.col("a_n") - a - 1, F.col("b_n") - b - 1)
+    met = end("a").join(end("b"), "token").where(alike & (F.least("a_pos", "b_pos") + 1 + rest(F.col("a_pos"), F.col("b_pos")) >= least))
+    shared = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
+    return shared.where(F.col("shared") + rest(F.col("a_pos"), F.col("b_pos")) >= least).select("a", "b")
+
+
+def text_digest() -> Column:
+    return F.unhex(F.substring(F.sha2(filled().cast("binary"), 256), 1, 32))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest)."""
+    pairs = checkpointed(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
+    small_batches(docs.sparkSession)
+
+    @arrow_udf("binary")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+
+    @arrow_udf("boolean")
+    def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            made = []
+            for x, y in zip(left, right):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                made.append(len(x) + len(y) == 0 or both / (len(x) + len(y) - both) >= similarity)
+            yield pa.array(made, pa.bool_())
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    texts = docs.select(text_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["digest"])
+    sets = checkpointed(texts.select("node", hashed(filled()).alias("set")))
+    end = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
+    return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_set", "b_set")).select("a", "b"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Documents without near-copies: of each group linked at this similarity of word shingles the one with the smallest doc_id stays, null coming last.
 
-    Equal texts are one node; of equal ids in a group the one whose text's digest is smaller stays, and of equal texts
-    any one row. A null text counts as empty, and all empty texts are one group. Only ids, digests and signatures are
-    grouped; texts move once.
+    All pairs of this Jaccard similarity are linked and no others: what ball hashing finds is verified on the shingles,
+    then all pairs that could still join two groups are. Equal texts are one node; of equal ids in a group the one whose
+    text's digest is smaller stays, and of equal texts any one row. A null text counts as empty, and all empty texts are
+    one group. Texts move once for each verification, those with candidates only, and once at the end.
     """
-    digest = F.unhex(F.substring(F.sha2(filled().cast("binary"), 256), 1, 32))
-    rows = checkpointed(with_signature(docs.select("doc_id", "text"), words).select("doc_id", digest.alias("digest"), "signature"))
+    rows = checkpointed(with_sketch(docs.select("doc_id", "text"), words, similarity).select("doc_id", text_digest().alias("digest"), "sketch"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("signature").alias("signature")).select("w", "signature", F.monotonically_increasing_id().alias("node")))
-    roots = similar_nodes(nodes.select("node", "signature"), similarity)
-    grouped = nodes.select("w", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w"))
+    nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("sketch").alias("sketch")).select("w", "digest", "sketch.*", F.monotonically_increasing_id().alias("node")))
+    named = nodes.select("node", "digest")
+    roots = components(verified(likely_pairs(nodes.select("node", "signature"), similarity), named, docs, words, similarity))
+    rooted = checkpointed(nodes.join(roots, "node", "left").select("node", "w", F.coalesce("root", "node").alias("root"), "n", "rare"))
+    links = verified(pairs_apart(rooted, similarity), named, docs, words, similarity)
+    root = lambda x: rooted.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    above = components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    grouped = rooted.select("w", "root").join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
     winners = checkpointed(grouped.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.digest").alias("_lectern_digest")))
     if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(winners.select(F.col("_lectern_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
-    again = docs.withColumn("_lectern_own", digest)
+    again = docs.withColumn("_lectern_own", text_digest())
     kept = again.join(winners, again.doc_id.eqNullSafe(winners._lectern_id) & (again._lectern_own == winners._lectern_digest), "left_semi")
     return kept.dropDuplicates(["doc_id", "_lectern_own"]).select(docs.columns)
 

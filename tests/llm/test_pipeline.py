@@ -79,6 +79,28 @@ def brute_near_duplicates(rows):
     return set(least.values())
 
 
+def changed_copies(seed):
+    """Texts and copies of them whose similarity is near 0.8, and short texts with a word more or another one."""
+    rng = random.Random(seed)
+    made = []
+    for n in [400] * 40 + list(range(1, 40)):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+        made.append(base)
+        made.append([*base, "more"])
+        if n == 400:
+            made[-1] = list(base)
+            for at in range(rng.randint(7, 9)):
+                made[-1][20 + 40 * at] = "new"
+    return [" ".join(t) for t in made] + ["", " ", "a", "A", "a b", "a b  "]
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of 0.8 and little more are linked, those of little less aren't, long or short."""
+    rows = dict(enumerate(changed_copies(1)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], COLUMNS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_near_duplicates(rows)
+
+
 def test_odd_rows(spark, folder, tmp_path):
     """Null ids, repeated rows, extra columns and an empty table pass through every stage."""
     rows = [(None, "some words here", 1), (None, None, 2), (7, "some other words", 3), (7, "some other words", 3), (7, "quite different text now", 4)]

@@ -1,5 +1,7 @@
 """Compiler, parsers, facets, ranking, spelling, snippets and works on small hand-made tables."""
 
+import random
+
 import pytest
 
 from lectern.functions import text
@@ -221,3 +223,29 @@ def test_works(spark):
     made = {r.doc_id: r.work_id for r in works.works(spark.createDataFrame(records, "doc_id long, title string, author string, date string, id string")).collect()}
     assert made == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
     assert works.author_score("", "") == 75 and works.date_score("1850", "1851") == -40 and works.id_score("abcdef (x)", "abcdef (y)") == 80
+
+
+def test_works_of_a_large_block(spark):
+    """More records of the same first word change nothing, and what the index leaves out scores too little."""
+    rng = random.Random(5)
+    pick = lambda values: rng.choice(values)
+    small = [(1, "History of England", "Ann Author", "1850", None), (2, "History of England a survey", "Ann Author", "1850", None), (3, "History wholly other", "Ann Author", "1850", "id 12345"), (4, "History unlike", "Ann Author", "1850", "id 12345")]
+    many = small + [(10 + i, f"History number{i}", f"writer{i}", "1900", None) for i in range(2100)]
+    schema = "doc_id long, title string, author string, date string, id string"
+    made = {r.doc_id: r.work_id for r in works.works(spark.createDataFrame(many, schema)).collect()}
+    assert [made[i] for i in (1, 2, 3, 4)] == [1, 1, 3, 3]
+    titles = [None, "***", ":", *(f"a {x}{y}" for x in ("", "b", "b c", "long enough title", "d") for y in ("", ": e", " f", ": b c"))]
+    rows = [dict(doc_id=i, title=pick(titles), author=pick([None, "x", "x y", "long name", "long name z"]), date=pick([None, "1850", "1851", "[c]1850"]), id=pick([None, "abcdef (x)", "abcdef (y)", "12"])) for i in range(300)]
+    assert sorted(works.group_block(rows)) == sorted(all_pairs(rows))
+
+
+def all_pairs(rows):
+    made = {}
+    for i, a in enumerate(rows):
+        if a["doc_id"] in made:
+            continue
+        made[a["doc_id"]] = (a["doc_id"], 0)
+        for b in rows[i + 1 :]:
+            if b["doc_id"] not in made and (score := works.pair_score(a, b)) >= works.LEAST:
+                made[b["doc_id"]] = (a["doc_id"], score)
+    return [(d, w, s) for d, (w, s) in made.items()]

@@ -28,6 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_pivot_top_k": OP2_SQL,
-    "op6_convolutional_toxicity": op6_convolutional_toxicity,
     "op7_url_trie": OP7_SQL,
 }

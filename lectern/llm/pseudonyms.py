@@ -37,6 +37,8 @@ PATTERNS = {
     "address": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "card": r"(?<![\w.+-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w]|[.-]\d)",
 }
+#: What a text must have for any pattern to match: most need a digit or @.
+SOME = r"[0-9@]|AKIA[A-Z]{16}|(?i:token|secret|password|passwd|pwd|api[_-]?key)[ \t]{0,3}[=:]"
 ANY = "|".join(f"(?:{p})" for p in (*list(PATTERNS.values())[:-1], PATTERNS["card"]))
 
 
@@ -250,7 +252,7 @@ def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text", kinds: str |
     A null text stays null and has no kinds. Numbers that don't validate, and dates outside the calendar or the years
     1900 to 2099, stay as they are.
     """
-    has = F.col(text).rlike("[0-9@]")
+    has = F.col(text).rlike(SOME)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replacement(m, key))
     there = df.withColumn("_lectern_found", F.when(has, found))
     gaps = F.split(text, ANY, -1)

@@ -21,8 +21,8 @@ ROUNDS = 8
 KEY = "lectern"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OTHER_LOWER, OTHER_UPPER = "àáâãäåæçèéêëìíîïñòóôõöøùúûüß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ"
-#: Dates are permuted within so many days from 1900-01-01 on (250 * 292); others stay.
-DAYS = (250, 292)
+#: Dates are permuted within so many days from 1900-01-01 on (250 * 292), all others of the years 1 to 9999 among themselves (1331 * 2689).
+DAYS, OTHER_DAYS = (250, 292), (1331, 2689)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -180,11 +180,19 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _moved_day(day: Column, key: str) -> Column:
-    first = F.lit("1900-01-01").cast("date")
-    n = F.datediff(day, first)
-    values = F.array(_number(F.floor(n / DAYS[1]), DAYS[0]), _number(n % DAYS[1], DAYS[1]))
-    there = let(feistel(values, key, "date"), lambda o: F.date_add(first, (o[0].v * DAYS[1] + o[1].v).cast("int")))
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), there)
+    first, begin, near = F.lit("1900-01-01").cast("date"), F.lit("0001-01-01").cast("date"), DAYS[0] * DAYS[1]
+    before = F.datediff(first, begin)
+
+    def moved(n: Column) -> Column:
+        inside = n.between(0, near - 1)
+        a, b = (F.when(inside, x).otherwise(y) for x, y in zip(DAYS, OTHER_DAYS))
+        rank = F.when(inside, n).when(n < 0, n + before).otherwise(n + before - near)
+        values = let(rank, lambda r: F.array(_number(F.floor(r / b), a), _number(r % b, b)))
+        there = let(feistel(values, key, "date"), lambda o: (o[0].v * o[1].m + o[1].v).cast("int"))
+        made = let(there, lambda o: F.date_add(first, o + F.when(inside, 0).when(o < before, -before).otherwise(near - before)))
+        return F.when(n >= -before, made)  # the calendar has no year 0
+
+    return let(F.datediff(day, first), moved)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -249,8 +257,7 @@ def _replacement(m: Column, key: str) -> Column:
 def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text", kinds: str | None = None) -> DataFrame:
     """Replace what is private in each whole text; kinds: a column to add, an array with the kind of each replacement in its order.
 
-    A null text stays null and has no kinds. Numbers that don't validate, and dates outside the calendar or the years
-    1900 to 2099, stay as they are.
+    A null text stays null and has no kinds. Numbers that don't validate, and dates outside the calendar, stay as they are.
     """
     has = F.col(text).rlike(SOME)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replacement(m, key))

@@ -105,6 +105,23 @@ def test_pseudonyms_without_digits(spark):
     assert [r.kinds for r in made] == [["key"], ["secret"], ["secret"]] and all(r.text != t and len(r.text) == len(t) for r, t in zip(made, texts))
 
 
+def test_pseudonyms_of_all_dates(spark):
+    """Dates of any century are permuted: none stays as a whole, none meet, and the ends of both domains are reached."""
+    from pyspark.sql import functions as F
+
+    days = ["0001-01-01", "0999-12-31", "1850-06-01", "1899-12-31", "1900-01-01", "2099-11-12", "2099-11-13", "2099-12-31", "2100-02-28", "9999-12-31"]
+    texts = [*days, "born 31/12/1899", "born 12/31/1899", "born 31.12.1899", "0000-01-01", "1899-02-29", "2100-02-29"]
+    made = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), kinds="kinds").orderBy("doc_id").collect()
+    assert [r.kinds for r in made] == [["date"]] * 13 + [[]] * 3 and [r.text for r in made[13:]] == texts[13:]
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d", r.text) and r.text != t for r, t in zip(made, days)) and len({r.text for r in made[:10]}) == 10
+    assert ["1900-01-01" <= r.text <= "2099-11-12" for r in made[:10]] == ["1900-01-01" <= t <= "2099-11-12" for t in days]
+    year, month, day = made[3].text.split("-")
+    assert [r.text for r in made[10:13]] == [f"born {day}/{month}/{year}", f"born {month}/{day}/{year}", f"born {day}.{month}.{year}"]
+    ranks = spark.range(0, 3652059, 97).select(F.expr("date_add(date'0001-01-01', cast(id as int))").alias("d"))
+    moved = ranks.select(pseudonyms._moved_day(F.col("d"), "k").alias("m"))
+    assert moved.distinct().count() == ranks.count() and moved.where("m is null or m < '0001-01-01' or m > '9999-12-31'").isEmpty()
+
+
 # 2
 
 

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lectern.llm import quality, toxicity, words
+from lectern.llm import quality, simhash, toxicity, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,6 +101,21 @@ def test_near_duplicates_at_the_threshold(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_near_duplicates(rows)
 
 
+def test_near_duplicates_that_meet_through_an_unlike_one(spark, monkeypatch):
+    """Copies stay linked where the first of their bucket is unlike them, and where they never meet in a bucket."""
+    monkeypatch.setattr(simhash, "TABLES", 1)
+    rng, made = random.Random(2), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+        for changes in (11, 0, 5):
+            made.append(list(base))
+            for at in range(changes):
+                made[-1][(20 if changes == 5 else 10) + 35 * at] = "new"
+    rows = {i: " ".join(t) for i, t in enumerate(made)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], COLUMNS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_near_duplicates(rows)
+
+
 def test_odd_rows(spark, folder, tmp_path):
     """Null ids, repeated rows, extra columns and an empty table pass through every stage."""
     rows = [(None, "some words here", 1), (None, None, 2), (7, "some other words", 3), (7, "some other words", 3), (7, "quite different text now", 4)]

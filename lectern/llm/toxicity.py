@@ -25,6 +25,8 @@ BEGINNINGS = (4, 5)
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 #: Words whose filters are computed at once.
 STRETCH = 1 << 16
+#: Rows of either label that a threshold is calibrated on at least.
+ENOUGH = 10
 LANGUAGES = {
     "en": "the of and to in is that for it was with as by on at this from be are not",
     "fr": "le la les des et un une du dans est pour qui que sur pas au par avec ce ne",
@@ -174,9 +176,10 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Network:
-    """Train on four fifths of the sample and calibrate on all of it, each language against the overall threshold.
+    """Train on four fifths of the sample and calibrate on the last fifth, each language against the overall threshold.
 
-    With fewer than two of either label every score says that nothing is toxic.
+    Where the fifth has fewer than ENOUGH of either label, all of the sample calibrates. With fewer than two of either
+    label in the sample every score says that nothing is toxic.
     """
     network = Network()
     if labels.sum() < 2 or (1 - labels).sum() < 2:
@@ -187,10 +190,12 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     trains = np.arange(len(texts)) % 5 != 0
     network.fit(features[np.repeat(trains, counts)], counts[trains], labels[trains])
     logits = network.logits(features, counts)
-    network.cuts[:] = cut_for(logits, labels)
+    enough = lambda rows: labels[rows].sum() >= ENOUGH and (1 - labels[rows]).sum() >= ENOUGH
+    own = ~trains if enough(~trains) else np.ones(len(texts), bool)
+    network.cuts[:] = cut_for(logits[own], labels[own])
     for i in range(len(LANGUAGES)):
-        mine = language == i
-        if labels[mine].sum() >= 10 and (1 - labels[mine]).sum() >= 10:
+        mine = own & (language == i)
+        if enough(mine):
             network.cuts[i] = cut_for(logits[mine], labels[mine])
     return network
 

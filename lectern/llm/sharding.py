@@ -3,7 +3,9 @@
 In a uniformly random assignment with fixed shard sizes, the numbers of rows that go from each partition to each shard
 follow a multivariate hypergeometric law. So: permute each partition's rows locally; draw the matrix of exact counts;
 give consecutive stretches of a partition to the shards as the matrix says; exchange; permute again within each shard.
-Every row moves once. The driver sees one count for each partition, and the matrix has at most BLOCKS rows.
+Every row moves once. The matrix has a row for each partition. Where the input has more than MOST_PARTITIONS, several of
+them are read by one task without an exchange, and such a task's rows are permuted as one; so the law is the same at any
+size, and what the driver holds is bounded.
 """
 
 from __future__ import annotations
@@ -11,14 +13,15 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import checkpointed, table
 
-#: Partitions are folded into so many rows of the matrix at most.
-BLOCKS = 1024
+#: Rows of the matrix at most: the driver draws, and sends to all tasks, so many times the number of shards.
+MOST_PARTITIONS = 8192
 #: About so many rows of a shard are ordered in one task.
 STRETCH = 1 << 19
 
@@ -74,44 +77,37 @@ def even_sizes(total: int, shards: int) -> list[int]:
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 20_240_601, sizes: Sequence[int] | None = None) -> DataFrame:
     """Add shard (int, from 0) and slot (long, gapless from 0 in its shard), replacing columns of these names.
 
-    sizes: the rows of each shard; without it, counts differ by one at most. The columns must be hashable (no maps).
-    The same rows in the same partitions get the same places. Rows may repeat and hold nulls: each gets a place of its
-    own. An empty table stays empty.
+    sizes: the rows of each shard; without it, counts differ by one at most. The columns must be of types that can be
+    ordered (no maps). The same rows in the same partitions get the same places, in whatever order they are read. Rows
+    may repeat and hold nulls: each gets a place of its own, and equal rows part like all others. An empty table stays
+    empty.
     """
     columns = [c for c in df.columns if c not in ("shard", "slot")]
-    content = F.xxhash64(F.lit(seed), *columns)
-    mine, order = "_lectern_partition", "_lectern_place"
+    mine, order, here, drawn = "_lectern_partition", "_lectern_place", "_lectern_here", "_lectern_key"
     permuted = (
-        df.select(*columns, content.alias("_lectern_key"))
-        .sortWithinPartitions("_lectern_key", *columns)
+        df.select(*columns)
+        .coalesce(MOST_PARTITIONS)
+        .sortWithinPartitions(*columns)
+        .withColumn(here, F.monotonically_increasing_id())
+        .withColumn(drawn, F.xxhash64(F.lit(seed), here))
+        .sortWithinPartitions(drawn, here)
         .withColumn("_lectern_row", F.monotonically_increasing_id())
         .select(*columns, F.shiftright("_lectern_row", 33).cast("int").alias(mine), F.col("_lectern_row").bitwiseAND((1 << 33) - 1).alias(order))
     )
     permuted = checkpointed(permuted)
-    counts = {r[0]: r[1] for r in permuted.groupBy(mine).count().collect()}
-    total = sum(counts.values())
+    counts = sorted((r[0], r[1]) for r in permuted.groupBy(mine).count().collect())
+    total = sum(n for _, n in counts)
     sizes = even_sizes(total, shards) if sizes is None else list(sizes)
     if len(sizes) != shards or sum(sizes) != total:
         raise ValueError("the sizes must be one for each shard and add up to the rows")
-    blocks = [0] * max(1, min(BLOCKS, len(counts)))
-    starts = []
-    for i, (partition, n) in enumerate(sorted(counts.items())):
-        starts.append((partition, i % len(blocks), blocks[i % len(blocks)]))
-        blocks[i % len(blocks)] += n
-    bounds = []
-    for block, drawn in enumerate(communication_matrix(blocks, sizes, seed)):
-        reached = 0
-        bounds.append((block, [reached := reached + k for k in drawn]))
-    spark = df.sparkSession
-    starts_table = spark.createDataFrame(starts, f"{mine} int, _lectern_block int, _lectern_before long")
-    bounds_table = spark.createDataFrame(bounds, "_lectern_block int, _lectern_bounds array<long>")
-    at = F.col(order) + F.col("_lectern_before")
+    matrix = communication_matrix([n for _, n in counts], sizes, seed)
+    bounds = [(partition, list(accumulate(row))) for (partition, _), row in zip(counts, matrix)]
+    bounds_table = F.broadcast(df.sparkSession.createDataFrame(bounds, f"{mine} int, _lectern_bounds array<long>"))  # at most MOST_PARTITIONS rows
     placed = (
-        permuted.join(starts_table, mine)
-        .join(bounds_table, "_lectern_block")
-        .withColumn("shard", F.size(F.filter("_lectern_bounds", lambda b: b <= at)))
-        .withColumn("_lectern_key", F.xxhash64(F.lit(seed + 1), mine, order))
-        .select(*columns, "shard", mine, order, "_lectern_key")
+        permuted.join(bounds_table, mine)
+        .withColumn("shard", F.size(F.filter("_lectern_bounds", lambda b: b <= F.col(order))))
+        .withColumn(drawn, F.xxhash64(F.lit(seed + 1), mine, order))
+        .select(*columns, "shard", mine, order, drawn)
     )
     if max(sizes) <= STRETCH:
         rank = F.row_number().over(Window.partitionBy("shard").orderBy("_lectern_key", mine, order))

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import bpe, components, packing, pseudonyms, quality, sharding, simhash, sketches, topk, toxicity, urls, words
@@ -58,8 +59,6 @@ def test_registry():
 
 
 def test_feistel_is_a_permutation(spark):
-    from pyspark.sql import functions as F
-
     values = lambda c: F.array(*[F.struct((F.floor(c / d) % 7).cast("int").alias("v"), F.lit(7).alias("m")) for d in (1, 7, 49)])
     rows = spark.range(343).select(values(F.col("id")).alias("a")).withColumn("b", pseudonyms.feistel(F.col("a"), "k", "t")).withColumn("c", pseudonyms.unfeistel(F.col("b"), "k", "t")).collect()
     assert all(r.a == r.c for r in rows) and len({str(r.b) for r in rows}) == 343
@@ -107,8 +106,6 @@ def test_pseudonyms_without_digits(spark):
 
 def test_pseudonyms_of_all_dates(spark):
     """Dates of any century are permuted: none stays as a whole, none meet, and the ends of both domains are reached."""
-    from pyspark.sql import functions as F
-
     days = ["0001-01-01", "0999-12-31", "1850-06-01", "1899-12-31", "1900-01-01", "2099-11-12", "2099-11-13", "2099-12-31", "2100-02-28", "9999-12-31"]
     texts = [*days, "born 31/12/1899", "born 12/31/1899", "born 31.12.1899", "0000-01-01", "1899-02-29", "2100-02-29"]
     made = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), kinds="kinds").orderBy("doc_id").collect()
@@ -253,10 +250,36 @@ def test_shuffle(spark, monkeypatch):
         assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("most", [sharding.MOST_PARTITIONS, 2])
+def test_shuffle_is_uniform_for_any_number_of_partitions(spark, monkeypatch, most):
+    """The rows of each input partition reach nearly all shards, with counts that fit the hypergeometric law; equal rows part as well."""
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", most)
+    df = spark.range(0, 2400, 1, 24).selectExpr("cast(id div 100 as int) as came_from")  # equal rows lie in one partition
+    counts = np.zeros((24, 24), int)
+    for r in sharding.shuffle_into_shards(df, 24).collect():
+        counts[r.came_from, r.shard] += 1
+    assert (counts.sum(axis=0) == 100).all() and (counts.sum(axis=1) == 100).all()
+    assert ((counts > 0).sum(axis=1) >= 20).all()
+    mean, variance = 100 / 24, 100 * (1 / 24) * (23 / 24) * (2300 / 2399)
+    chi = ((counts - mean) ** 2 / variance).sum() / 24 * 23 / 24  # about its degrees of freedom, 23 * 23, over 24
+    assert 16 < chi < 29
+
+
 def test_op5(spark, folder):
     rows = QUERIES["op5_hypergeometric_sharding"](spark, folder).collect()
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(TEXTS)]
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(by) == len(TEXTS) and set(by) <= set(range(24)) and all(v == [0] for v in by.values())
+
+
+def test_shards_of_null_repeated_and_clashing_rows(spark):
+    rows = [(None, None), (None, None), (1, "a"), (1, "a"), (1, "a"), (2, None)]
+    made = sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, slot string").withColumn("x", F.col("slot")), 2).collect()
+    assert sorted((str(r.doc_id), str(r.x)) for r in made) == sorted((str(i), str(x)) for i, x in rows)
+    assert sorted((r.shard, r.slot) for r in made) == [(s, i) for s in (0, 1) for i in range(3)]
 
 
 # 6 and 9

@@ -10,6 +10,7 @@ All is done with DataFrame functions, each row by itself.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import filled, table
 
-ROUNDS = 8
-KEY = "lectern"
+#: Rounds of the network, and digits that one hash moves.
+ROUNDS, HASHED = 8, 10
+#: The session's setting that holds the key.
+KEY_SETTING = "spark.lectern.pseudonyms.key"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OTHER_LOWER, OTHER_UPPER = "àáâãäåæçèéêëìíîïñòóôõöøùúûüß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ"
 #: Dates are permuted within so many days from 1900-01-01 on (250 * 292), all others of the years 1 to 9999 among themselves (1331 * 2689).
 DAYS, OTHER_DAYS = (250, 292), (1331, 2689)
+#: Calling codes that are in use, those of North America's plan (1) among them.
+CALLING = r"1|7|2(?:0|1[12368]|[236]\d|4\d|5[0-8]|7|9[01789])|3(?:[0123469]|5\d|7\d|8[0-35-79])|4(?:[013-9]|2[013])|5(?:[1-8]|0\d|9\d)|6(?:[0-6]|7[02-9]|8[0-35-9]|9[0-2])|8(?:[1246]|0[08]|5[02356]|7[08]|8[0-36])|9(?:[0-58]|6\d|7[0-79]|9[2-68])"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -34,7 +39,7 @@ PATTERNS = {
     "abroad": r"\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)",
     "ssn": r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\w/-]|\.\d)",
-    "address": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "address": rf"(?<![\w.])(?<!(?i:version|release|build|section|firmware)[ :]{{1,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "card": r"(?<![\w.+-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w]|[.-]\d)",
 }
 #: What a text must have for any pattern to match: most need a digit or @.
@@ -48,17 +53,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def feistel(values: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of arrays of struct<v int, m int>, 0 <= v < m, with given moduli; back[...] of it is `unfeistel`."""
+    """A keyed permutation of arrays of struct<v int, m int>, 0 <= v < m, with given moduli; `unfeistel` goes back."""
 
     def step(halves: Column, number: Column) -> Column:
-        return let(_hash(key, kind, number, halves.right), lambda h: F.struct(halves.right.alias("left"), _moved(halves.left, h, 1).alias("right")))
+        return let(_stream(key, kind, number, halves.right, F.size(halves.left)), lambda h: F.struct(halves.right.alias("left"), _moved(halves.left, h, 1).alias("right")))
 
     return _halved(values, F.sequence(F.lit(0), F.lit(ROUNDS - 1)), step)
 
 
 def unfeistel(values: Column, key: str, kind: str) -> Column:
     def step(halves: Column, number: Column) -> Column:
-        return let(_hash(key, kind, number, halves.left), lambda h: F.struct(_moved(halves.right, h, -1).alias("left"), halves.left.alias("right")))
+        return let(_stream(key, kind, number, halves.left, F.size(halves.right)), lambda h: F.struct(_moved(halves.right, h, -1).alias("left"), halves.left.alias("right")))
 
     return _halved(values, F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)), step)
 
@@ -69,14 +74,18 @@ def _halved(values: Column, numbers: Column, step: Callable[[Column, Column], Co
     return F.aggregate(numbers, start, step, lambda s: F.concat(s.left, s.right))
 
 
-def _hash(key: str, kind: str, number: Column, half: Column) -> Column:
+def _stream(key: str, kind: str, number: Column, half: Column, length: Column) -> Column:
+    """A hash of one half for each HASHED digits of the other: each digit of that has bits of its own."""
     shown = F.array_join(F.transform(half, lambda e: F.concat_ws("/", e.v.cast("string"), e.m.cast("string"))), ",")
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), shown).cast("binary"), 256)
+    block = lambda s, i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), i.cast("string"), s).cast("binary"), 256)
+    last = F.floor(F.greatest(length - 1, F.lit(0)) / HASHED).cast("int")
+    return let(shown, lambda s: F.transform(F.sequence(F.lit(0), last), lambda i: block(s, i)))
 
 
 def _moved(half: Column, hashed: Column, sign: int) -> Column:
     def move(e: Column, i: Column) -> Column:
-        by = F.conv(F.substring(hashed, (i % 10 * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("int")
+        block = F.get(hashed, F.floor(i / HASHED).cast("int"))
+        by = F.conv(F.substring(block, (i % HASHED * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("int")
         return F.struct(F.pmod(e.v + sign * by, e.m).cast("int").alias("v"), e.m.alias("m"))
 
     return F.transform(half, move)
@@ -204,9 +213,11 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _abroad(m: Column, key: str) -> Column:
-    """The first group, with the country's digits, stays."""
+    """A number that begins with a calling code in use and has 8 to 15 digits, with code 1 eleven. The first group, with the country's digits, stays."""
     head = F.regexp_extract(m, r"^\+\d{1,3}", 0)
-    return F.concat(head, permute_characters(F.substring(m, F.length(head) + 1, F.length(m)), key, "abroad", lambda c, i: F.when(c.rlike(r"\d"), F.lit(DIGITS)).otherwise(F.lit(""))))
+    made = F.concat(head, permute_characters(F.substring(m, F.length(head) + 1, F.length(m)), key, "abroad", lambda c, i: F.when(c.rlike(r"\d"), F.lit(DIGITS)).otherwise(F.lit(""))))
+    digits = F.length(F.regexp_replace(m, r"\D", ""))
+    return F.when(m.rlike(rf"^\+(?:{CALLING})") & F.when(m.startswith("+1"), digits == 11).otherwise(digits.between(8, 15)), made)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -254,10 +265,22 @@ def _replacement(m: Column, key: str) -> Column:
     return found
 
 
-def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text", kinds: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's KEY_SETTING holds. Without one, a key is drawn for this session, and stays with it: pseudonyms of another session then differ."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds: str | None = None) -> DataFrame:
     """Replace what is private in each whole text; kinds: a column to add, an array with the kind of each replacement in its order.
 
-    A null text stays null and has no kinds. Numbers that don't validate, and dates outside the calendar, stay as they are.
+    A null text stays null and has no kinds. What doesn't validate (check digits, octets, calling codes, the calendar)
+    stays as it is, and so do the domains of e-mail addresses. Rows count by themselves, so repeated ones get the same
+    text and null ids don't matter; all other columns stay, but one named as `kinds` is replaced. An empty table stays
+    empty.
     """
     has = F.col(text).rlike(SOME)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replacement(m, key))
@@ -271,6 +294,6 @@ def pseudonymise(df: DataFrame, key: str = KEY, text: str = "text", kinds: str |
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text with pseudonyms, how many it has, and their kinds. A null text counts as empty."""
+    """Every document's text with pseudonyms, how many it has, and their kinds. A null text counts as empty, a null doc_id stays; repeated rows stay."""
     documents = table(spark, sf_dir, "documents").select("doc_id", filled().alias("text"))
-    return pseudonymise(documents, kinds="kinds").select("doc_id", "text", F.size("kinds").alias("n_private"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+    return pseudonymise(documents, session_key(spark), kinds="kinds").select("doc_id", "text", F.size("kinds").alias("n_private"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))

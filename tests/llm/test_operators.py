@@ -211,7 +211,34 @@ def test_pivots_eliminate():
     pivots = topk.choose_pivots(vectors[:500], 30)
     found, evaluated = topk.search(vectors[:1], np.array([0]), topk.pivot_table(vectors[:1], pivots), np.array([-np.inf]), vectors, np.arange(3000), topk.pivot_table(vectors, pivots), 10)
     assert evaluated < 600
-    assert sorted(-s for *_, s in found) == sorted(-vectors[1:] @ vectors[0])[:10]
+    assert [s for s, _ in found[0]] == sorted(-vectors[1:] @ vectors[0])[:10]
+
+
+def test_bounds_hold_for_the_largest_vectors():
+    """Where roots are rounded most, no candidate is lost: two components as large as doubles allow, near to each other."""
+    rng = np.random.default_rng(4)
+    for size in (1000, 11_000_000):
+        for _ in range(60):
+            vectors = rng.integers(size - 60, size + 1, size=(400, 2)).astype(np.float64) * rng.choice([1, -1], 2)
+            ids = np.arange(400)
+            block = topk.Block(ids[:5], vectors[:5].astype(np.int64).tolist(), ids[:50], vectors[:50].astype(np.int64).tolist(), 10, 16)
+            made = block.best_of(iter([(ids[:150], vectors[:150].astype(np.int64).tolist()), (ids[150:], vectors[150:].astype(np.int64).tolist())]))
+            for q in range(5):
+                assert made[q] == sorted((-int(vectors[q].astype(np.int64) @ v), i) for i, v in enumerate(vectors.astype(np.int64)) if i != q)[:10]
+
+
+def test_top_k_of_large_uneven_and_repeated_vectors(spark):
+    huge = 1 << 62
+    rows = [(0, [huge, 1]), (100, [3, 4]), (100, [5, -2]), (200, [1, 2, 3]), (300, []), (400, [7]), (1, [2, 2]), (1, [2, 2]), (2, [-huge, 5]), (3, [4, 4, 4]), (4, []), (5, [1 << 24, 1 << 24])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    fit = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    expected = []
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        pairs = sorted((-fit(sum(a * b for a, b in zip(v, w))), i) for j, v in rows if j == q for i, w in rows if i != q and len(v) == len(w))[:4]
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(pairs, 1)]
+    for block in (2, 100):
+        made = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 4, block).collect()
+        assert sorted(map(tuple, made)) == sorted(expected)
 
 
 # 3 and 4

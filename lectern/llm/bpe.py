@@ -31,8 +31,8 @@ from lectern.llm.common import filled, small_batches, table
 
 #: Most states that a transducer keeps, and most words whose ids a worker remembers; beyond either it begins afresh.
 MOST_STATES, MOST_WORDS = 280_000, 100_000
-#: Words beyond this length are encoded, but not remembered.
-LONGEST_REMEMBERED = 64
+#: Words beyond this length are encoded, but not remembered. Bytes after which the number of states is looked at.
+LONGEST_REMEMBERED, STEP = 64, 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,15 +172,18 @@ class Transducer:
         return self._state(tuple([(last, node, waiting[agreed:]) for last, node, waiting in found])), emitted
 
     def encode(self, data: bytes) -> bytes:
-        if len(self.states) > MOST_STATES:
-            self._begin()
-            self._fits.clear()
-            gc.collect()
         state, out = self.start, []
-        for byte in data:
-            state, emitted = state[byte]
-            if emitted:
-                out.append(emitted)
+        for at in range(0, len(data), STEP):
+            if len(self.states) > MOST_STATES:
+                configurations = state.configurations
+                self._begin()
+                self._fits.clear()
+                state = self._state(configurations)  # as a new state, from which no old one is reached
+                gc.collect()
+            for byte in data[at : at + STEP]:
+                state, emitted = state[byte]
+                if emitted:
+                    out.append(emitted)
         out.append(state.end or state.finish())
         return b"".join(out)
 
@@ -340,7 +343,10 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "de
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document encoded and decoded again, as digests. Null and empty texts have no ids."""
+    """Every whole document encoded and decoded again, as digests.
+
+    Null and empty texts have no ids. Every row counts by itself, so repeated and null doc_ids stay; an empty table stays empty.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -130,7 +130,7 @@ def _by_join(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
 
 
 def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's url judged by the four rules; what no rule fits is allowed."""
+    """Every page's url judged by the four rules; what no rule fits is allowed. Every row is judged by itself, so repeated and null page_ids stay."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -142,9 +142,9 @@ WITH split AS (
   FROM pages),
 rules(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fits AS (
-  SELECT page_id, rule_host || rule_path AS rule, verdict,
-         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS place
-  FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+  SELECT host AS own_host, path AS own_path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS place
+  FROM (SELECT DISTINCT host, path FROM split) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.place = 1
+FROM split s LEFT JOIN fits f ON s.host = f.own_host AND s.path = f.own_path AND f.place = 1
 """

@@ -116,14 +116,18 @@ def pack(df: DataFrame, ids: str = "ids", longest: int = LONGEST) -> DataFrame:
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Store sequences by bucket, so that a reader makes batches of one length without padding."""
+    """Store sequences in a folder for each bucket (12 at most), so that a reader makes batches of one length without padding."""
     packed.write.partitionBy("bucket").parquet(path)
 
 
 def op4_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences whose lengths are powers of two up to 2048; no padding. Null and empty texts have the closing id alone."""
+    """All documents in sequences whose lengths are powers of two up to 2048, with the bucket of each; no padding.
+
+    Null and empty texts have the closing id alone. Rows with one doc_id, or none, are packed each by itself. An empty
+    table has no pieces.
+    """
     import public_tokenizers
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     packed = pack(tokenize(documents, public_tokenizers.path("byte_bpe_50k.json")).drop("text"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

@@ -51,7 +51,14 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
-def test_registry():
+def test_registry(spark, empty):
+    import duckdb
+
+    assert all(isinstance(sql, str) for sql in ORACLES.values())
+    connection = duckdb.connect()
+    for name in ("documents", "embeddings", "pages", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{empty}/{name}.parquet/*.parquet')")
+    assert all(connection.execute(sql).fetchall() == [] for sql in ORACLES.values())
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
 
@@ -299,6 +306,27 @@ def test_op4(spark, folder):
         assert at == len(ids)
 
 
+def test_buckets(spark, folder, tmp_path):
+    """Each bucket has sequences of one length; the query says which, and the layout has a folder for each."""
+    rows = QUERIES["op4_power_of_two_packing"](spark, folder).collect()
+    assert all(r.length == 1 << r.bucket for r in rows) and len({r.bucket for r in rows}) > 3
+    packed = packing.pack(packing.tokenize(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text"))
+    packing.write_buckets(packed, f"{tmp_path}/buckets")
+    assert {p.name for p in (tmp_path / "buckets").iterdir() if p.is_dir()} == {f"bucket={r.bucket}" for r in rows}
+    assert spark.read.parquet(f"{tmp_path}/buckets").where("octet_length(ids) = 4 * length and length = shiftleft(1L, bucket)").count() == len(rows)
+
+
+def test_states_stay_few_in_a_long_word(reference, monkeypatch):
+    """A single pre-token of many letters is cut off from old states on its way, and its ids stay the same."""
+    path, library = reference
+    transducer, rng = bpe.Transducer(bpe.read_ranks(path)), random.Random(2)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñ") for _ in range(60_000))
+    monkeypatch.setattr(bpe, "MOST_STATES", 2000)
+    monkeypatch.setattr(bpe, "STEP", 500)
+    assert list(memoryview(transducer.encode(word.encode())).cast("I")) == library.encode_ordinary(word)
+    assert len(transducer.states) < 3000
+
+
 def test_special_token_in_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = "a <|endoftext|> b<|endoftext|>"

@@ -171,5 +171,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality of every whole text, learned from labels with crc32(doc_id) mod 4 other than 2."""
+    """The quality of every whole text, learned from labels with crc32(doc_id) mod 4 other than 2.
+
+    A null text counts as empty; a null doc_id as the empty text, for the remainder. Every row is scored by itself, so
+    repeated rows get one score. Of an id with several labels each counts. An empty table stays empty.
+    """
     return scored_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), scorer(spark, fitted(spark, sf_dir)), 4, 2)

@@ -45,7 +45,6 @@ def test_entry(spark):
 def test_oracles_are_sql(duck):
     import __spark_entry__
 
-    duck.execute("set lambda_syntax = 'ENABLE_SINGLE_ARROW'")  # as op2's SQL is written
     for name, sql in __spark_entry__.oracle_sql().items():
         assert isinstance(sql, str), name
         duck.execute(f"explain {sql}")

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -172,8 +172,10 @@ def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc
     return with_root(fingerprinted, radius, id_col).drop("root")
 
 
-#: Near-copies by similarity: bits of a table, tables in which candidates meet, and bits by which they are judged.
-TABLE_BITS, TABLES, ROUNDS = 40, 8, 10
+#: Near-copies by similarity: tables in which candidates meet, and words of 64 bits by which they are judged.
+TABLES, ROUNDS = 8, 10
+#: Bits of the filter that tells which texts are wanted, at most: 32 MB.
+MOST_BITS = 1 << 28
 #: Documents in which common shingles are looked for, in how many of them one is common, and how many are kept.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 10_000, 4, 200_000
 #: What rounding may do to a bound on the number of shared shingles.
@@ -255,6 +257,11 @@ def with_sketch(df: DataFrame, words: int = 5, similarity: float = 0.8, into: st
     return df.withColumn(into, sketched(filled()))
 
 
+def table_bits(nodes: int) -> int:
+    """Bits of a table's words: one more each time that nodes double, so that false candidates grow as the nodes do, not as their square. Room is left for a table's number."""
+    return min(60, max(40, 15 + math.ceil(math.log2(max(1, nodes)))))
+
+
 def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Rows (node long, signature) to rows (node, root) of nodes that are linked at this similarity, as the signatures tell it."""
     return components(likely_pairs(nodes, similarity))
@@ -266,12 +273,12 @@ def likely_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     Ball hashing in several short tables finds candidates: at 0.8 a pair meets in one of them nine times in ten, at 0.9
     nearly always, unlike ones hardly ever. All bits of a signature judge them. What lies in one bucket is linked to its first.
     """
-    size = TABLE_BITS // 8
-    word = lambda t: F.conv(F.hex(F.substring("signature", t * size + 1, size)), 16, 10).cast("long") + (t << TABLE_BITS)
+    width = table_bits(nodes.count())
+    word = lambda t: F.shiftrightunsigned(F.conv(F.hex(F.substring("signature", t * 8 + 1, 8)), 16, -10).cast("long"), 64 - width) + (t << width)
     placed = nodes.select("node", F.explode(F.array(*[word(t) for t in range(TABLES)])).alias("fingerprint"))
     first = checkpointed(placed.groupBy("fingerprint").agg(F.min("node").alias("first")))
     equal = placed.join(first, "fingerprint").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    links = fingerprint_links(first.select("fingerprint"), 4, TABLE_BITS, TABLES)
+    links = fingerprint_links(first.select("fingerprint"), 4, width, TABLES)
     end = lambda name: first.select(F.col("fingerprint").alias(name), F.col("first").alias(f"{name}_node"))
     near = links.join(end("a"), "a").join(end("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     pairs = near.union(equal).where("a <> b").distinct()
@@ -281,20 +288,26 @@ def likely_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     return pairs.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b")
 
 
-def pairs_apart(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Rows (node, root, n, rare) to pairs (a, b) of different roots, among them all of this similarity.
+def pairs_apart(nodes: DataFrame, roots: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Rows (node, n, rare) and (node, root) to pairs (a, b) of different roots, among them all of this similarity.
 
     Two such sets share one of the rarest of both. The places at which they share them bound how many they share in all.
+    Roots that share a token are paired first and their members then, so members of one root, however many, never meet.
     """
-    each = nodes.select("node", "root", "n", F.posexplode("rare").alias("pos", "token"))
-    roots = Window.partitionBy("token")
-    live = checkpointed(each.withColumn("lo", F.min("root").over(roots)).withColumn("hi", F.max("root").over(roots)).where("lo <> hi").drop("lo", "hi"))
-    end = lambda x: live.select("token", F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "pos")])
-    alike = (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK)
+    spread = nodes.select("node", F.posexplode("rare").alias("pos", "token"))
+    shared_by = lambda rows, name: checkpointed(rows.groupBy("token").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("token"))
+    several = shared_by(spread, "node")
+    met = likely_among(spread, several, "token").join(several, "token", "left_semi")
+    rooted = checkpointed(met.join(nodes.select("node", "n"), "node").join(roots, "node"))
+    live = checkpointed(rooted.join(shared_by(rooted, "root"), "token", "left_semi").select("token", "root", "node", "n", "pos"))
+    here = live.select("token", "root").distinct()
+    two = here.withColumnRenamed("root", "a_root").join(here.withColumnRenamed("root", "b_root"), "token").where("a_root < b_root")
+    end = lambda x: live.select("token", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("pos").alias(f"{x}_pos"))
+    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK
     least = F.expr("a_n + b_n") * (similarity / (1 + similarity)) - SLACK
     rest = lambda a, b: F.least(F.col("a_n") - a - 1, F.col("b_n") - b - 1)
-    met = end("a").join(end("b"), "token").where(alike & (F.least("a_pos", "b_pos") + 1 + rest(F.col("a_pos"), F.col("b_pos")) >= least))
-    shared = met.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
+    pairs = two.join(end("a"), ["token", "a_root"]).join(end("b"), ["token", "b_root"]).where(alike & (F.least("a_pos", "b_pos") + 1 + rest(F.col("a_pos"), F.col("b_pos")) >= least))
+    shared = pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
     return shared.where(F.col("shared") + rest(F.col("a_pos"), F.col("b_pos")) >= least).select("a", "b")
 
 
@@ -302,6 +315,21 @@ def text_digest() -> Column:
     return F.unhex(F.substring(F.sha2(filled().cast("binary"), 256), 1, 32))
 
 
+def likely_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the wanted ones, and a few others: a join behind this moves hardly more rows than it gives.
+
+    A bit for each wanted key, about 16 times as many bits as keys and MOST_BITS at most, goes to all tasks. Where there
+    are so many keys that most bits are set, rows merely move in vain.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(16 * max(1, wanted.count())))))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    number, position = F.bitmap_bucket_number(place + 1), F.bitmap_bit_position(place + 1)
+    made = wanted.groupBy(number.alias("_lectern_part")).agg(F.bitmap_construct_agg(position).alias("_lectern_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_lectern_bits"), (F.col("_lectern_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = rows.withColumns({"_lectern_part": number, "_lectern_at": position}).join(F.broadcast(made), "_lectern_part")  # of MOST_BITS at most
+    return there.where(F.getbit(byte, (F.col("_lectern_at") % 8).cast("int")) == 1).select(rows.columns)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest)."""
     pairs = checkpointed(pairs.select("a", "b"))
@@ -324,8 +352,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
                 made.append(len(x) + len(y) == 0 or both / (len(x) + len(y) - both) >= similarity)
             yield pa.array(made, pa.bool_())
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    texts = docs.select(text_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["digest"])
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
+    texts = likely_among(docs.select(text_digest().alias("digest"), "text"), wanted, "digest").join(wanted, "digest").dropDuplicates(["digest"])
     sets = checkpointed(texts.select("node", hashed(filled()).alias("set")))
     end = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
     return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_set", "b_set")).select("a", "b"))
@@ -339,18 +367,18 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     text's digest is smaller stays, and of equal texts any one row. A null text counts as empty, and all empty texts are
     one group. Texts move once for each verification, those with candidates only, and once at the end.
     """
-    rows = checkpointed(with_sketch(docs.select("doc_id", "text"), words, similarity).select("doc_id", text_digest().alias("digest"), "sketch"))
+    rows = with_sketch(docs.select("doc_id", "text"), words, similarity).select("doc_id", text_digest().alias("digest"), "sketch")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("sketch").alias("sketch")).select("w", "digest", "sketch.*", F.monotonically_increasing_id().alias("node")))
     named = nodes.select("node", "digest")
-    roots = components(verified(likely_pairs(nodes.select("node", "signature"), similarity), named, docs, words, similarity))
-    rooted = checkpointed(nodes.join(roots, "node", "left").select("node", "w", F.coalesce("root", "node").alias("root"), "n", "rare"))
-    links = verified(pairs_apart(rooted, similarity), named, docs, words, similarity)
-    root = lambda x: rooted.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    linked = components(verified(likely_pairs(nodes.select("node", "signature"), similarity), named, docs, words, similarity))
+    roots = checkpointed(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    links = verified(pairs_apart(nodes.select("node", "n", "rare"), roots, similarity), named, docs, words, similarity)
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     above = components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    grouped = rooted.select("w", "root").join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
+    grouped = nodes.select("node", "w").join(roots, "node").join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
     winners = checkpointed(grouped.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.digest").alias("_lectern_digest")))
-    if rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(winners.select(F.col("_lectern_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
     again = docs.withColumn("_lectern_own", text_digest())
     kept = again.join(winners, again.doc_id.eqNullSafe(winners._lectern_id) & (again._lectern_own == winners._lectern_digest), "left_semi")

@@ -7,6 +7,10 @@ a single digest shows it (its checksum fits); taking it out of its other cells f
 before all cells are empty, a larger sketch is tried; in the end the plain sets decide. The digests recovered are the
 paragraphs that differ.
 
+The fingerprints that are returned are small sketches of one size, so that equal texts have equal ones; `differing` and
+`likeness` need nothing but two of these, and say nothing where the texts differ in too many paragraphs. The likeness
+that `compare` gives comes from sketches as large as the two texts need, and is the same wherever both exist.
+
 All is done with DataFrame functions. The texts are exchanged once, to neighbours in the order of ids; cells are made,
 subtracted and peeled in the partitions that this exchange made.
 """
@@ -45,38 +49,39 @@ def cell_of(digest: Column, part: int, width: Column) -> Column:
     return (F.lit(part) * width + F.pmod(F.xxhash64(digest, F.lit(part)), width)).cast("int")
 
 
-def borders(df: DataFrame, key: str) -> list[int]:
-    """Keys that cut the table into stretches of about STRETCH rows; they decide balance only."""
+def borders(df: DataFrame, key: str) -> list[tuple[int, int]]:
+    """Keys that cut the table into stretches of about STRETCH rows; they decide balance only. As a key also has a hash of the text, rows with one id are cut too."""
     rows = df.count()
     count = min(MOST_STRETCHES, math.ceil(rows / STRETCH))
     if count < 2:
         return []
-    some = sorted(r[0] for r in df.where(F.rand(1) < 16 * count / rows).select(key).limit(32 * count).collect())
+    some = sorted(tuple(r[0]) for r in df.where(F.rand(1) < 16 * count / rows).select(key).limit(32 * count).collect())
     return sorted({some[i * len(some) // count] for i in range(1, count)}) if some else []
 
 
-def stretch_of(key: Column, cuts: list[int]) -> Column:
+def stretch_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
     """How many borders the key has reached; looked up in two steps, as there may be thousands."""
     step = max(1, math.isqrt(len(cuts)))
     parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     if not parts:
         return F.lit(0)
-    heads = F.array(*[F.lit(p[0]) for p in parts])
+    literal = lambda cut: F.struct(F.lit(cut[0]).cast("long").alias("id"), F.lit(cut[1]).cast("long").alias("hash"))
+    heads = F.array(*[literal(p[0]) for p in parts])
     reached = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.element_at(F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts]), F.greatest(reached, F.lit(1)))
+    inside = F.element_at(F.array(*[F.array(*[literal(b) for b in p]) for p in parts]), F.greatest(reached, F.lit(1)))
     return F.when(reached == 0, 0).otherwise((reached - 1) * step + F.size(F.filter(inside, lambda b: b <= key)))
 
 
-def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts: list[int], only: DataFrame | None = None) -> DataFrame:
+def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts: list[tuple[int, int]], only: DataFrame | None = None) -> DataFrame:
     """Rows in ascending key, each with the carried columns of the row after it as next_<name>; after the last comes the first.
 
-    The keys are longs and not null. Adds _stretch and _place, which together name a row. The first row of each stretch
+    The keys are as row_key makes them. Adds _stretch and _place, which together name a row. The first row of each stretch
     also goes, as a shadow, to the end of the stretch before it; so one exchange is enough. only: the stretches wanted.
     """
     placed = df.withColumn("_stretch", stretch_of(F.col(key), cuts).cast("int"))
     firsts = sorted((r[0], r[1]) for r in placed.groupBy("_stretch").agg(F.min(key)).collect())
     shadows = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    there = F.broadcast(df.sparkSession.createDataFrame(shadows, "_first long, _before int"))  # at most MOST_STRETCHES rows
+    there = F.broadcast(df.sparkSession.createDataFrame(shadows, "_first struct<id: long, hash: long>, _before int"))  # at most MOST_STRETCHES rows
     as_itself = F.struct(F.col("_stretch").alias("s"), F.lit(False).alias("shadow"))
     as_shadow = F.struct(F.col("_before").alias("s"), F.lit(True).alias("shadow"))
     both = placed.join(there, F.col(key) == F.col("_first"), "left").withColumn("_as", F.explode(F.when(F.col("_first").isNull(), F.array(as_itself)).otherwise(F.array(as_itself, as_shadow))))
@@ -92,9 +97,9 @@ def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts
     )
 
 
-def edited_pairs(docs: DataFrame, cuts: list[int], only: DataFrame | None = None) -> DataFrame:
+def edited_pairs(docs: DataFrame, cuts: list[tuple[int, int]], only: DataFrame | None = None) -> DataFrame:
     """Each document with its edited text, and the paragraph digests of both and of the next document."""
-    rows = docs.select("doc_id", filled().alias("text"), id_key().alias("_key"))
+    rows = docs.select("doc_id", filled().alias("text"), row_key().alias("_key"))
     chained = with_next(rows, "_key", ["text"], ["text"], cuts, only)
     n = F.length("text")
     kept = n - F.floor(n / 4)
@@ -102,8 +107,9 @@ def edited_pairs(docs: DataFrame, cuts: list[int], only: DataFrame | None = None
     return chained.select(*ROW, "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), paragraphs(F.col("text")).alias("first"), paragraphs(F.col("next_text")).alias("next")).withColumn("second", paragraphs(F.col("edited")))
 
 
-def id_key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+def row_key() -> Column:
+    """Ids in ascending order, null first; rows of one id by a hash of their texts."""
+    return F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(filled()).alias("hash"))
 
 
 ROW = ("_stretch", "_place")
@@ -136,10 +142,47 @@ def _peel(cells: DataFrame, part: int, keep: bool) -> DataFrame:
 def _printed(kind: int) -> Column:
     """A sketch as a string: for each cell in use its number, count, digests and checksums in hexadecimal."""
     own = F.array_sort(F.collect_list(F.when((F.col("tag") % 8 == kind) & (F.col("n") != 0), F.struct("cell", "n", "key", "sum"))))
-    cell = lambda c: F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.hex(c.n), F.lit(":"), F.lpad(F.hex(c.key), 16, "0"), F.lpad(F.hex(c.getField("sum").bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    cell = lambda c: F.concat(F.lpad(F.hex(c.cell), 2, "0"), F.hex(c.n), F.lit(":"), F.lpad(F.hex(c.key), 16, "0"), F.lpad(F.hex(c.getField("sum")), 16, "0"))
     return F.lower(F.array_join(F.transform(own, cell), " "))
 
 
+def _read(fingerprint: Column, sign: int) -> Column:
+    """A printed sketch as all its cells, struct<n, key, sum>, its counts times `sign`."""
+    number = lambda part, at, size: F.conv(F.substring(part, at, size), 16, -10).cast("long")
+    cells = F.transform(F.filter(F.split(fingerprint, " "), lambda c: c != ""), lambda c: F.struct(F.conv(F.substring(c, 1, 2), 16, 10).cast("int").alias("cell"), F.substring_index(F.substring(c, 3, 40), ":", 1).alias("n"), F.substring_index(c, ":", -1).alias("rest")))
+    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("sum"))
+    full = lambda c: F.struct((F.conv(c.n, 16, 10).cast("long") * sign).alias("n"), number(c.rest, 1, 16).alias("key"), number(c.rest, 17, 16).alias("sum"))
+    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * WIDTH - 1)), lambda i: F.coalesce(F.get(F.transform(F.filter(cells, lambda c: c.cell == i), full), F.lit(0)), empty))
+
+
+def differing(first: Column, second: Column) -> Column:
+    """Two fingerprints to the digests that only one of their texts has, as far as these small sketches tell them: null if the peeling stops before its end."""
+    minus = F.zip_with(_read(first, 1), _read(second, -1), lambda a, b: F.struct((a.n + b.n).alias("n"), a.key.bitwiseXOR(b.key).alias("key"), a.getField("sum").bitwiseXOR(b.getField("sum")).alias("sum")))
+    found = F.array().cast("array<struct<n:bigint,key:bigint,sum:bigint>>")
+
+    def step(state: Column, part: Column) -> Column:
+        mine = F.slice(state.cells, part * WIDTH + 1, F.lit(WIDTH))
+        alone = F.filter(mine, lambda c: c.n.isin(-1, 1) & (c.getField("sum") == checksum(c.key)))
+        places = lambda key: F.array(*[cell_of(key, other, F.lit(WIDTH)) for other in range(TABLES)])
+
+        def less(cell: Column, at: Column) -> Column:
+            mine = F.filter(alone, lambda c: F.array_contains(places(c.key), at))
+            return F.aggregate(mine, cell, lambda x, c: F.struct((x.n - c.n).alias("n"), x.key.bitwiseXOR(c.key).alias("key"), x.getField("sum").bitwiseXOR(c.getField("sum")).alias("sum")))
+
+        return F.struct(F.transform(state.cells, less).alias("cells"), F.concat(state.found, alone).alias("found"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.lit(TABLES * CYCLES - 1)), lambda i: i % TABLES)
+    left = lambda s: F.exists(s.cells, lambda c: (c.n != 0) | (c.key != 0) | (c.getField("sum") != 0))
+    return F.aggregate(parts, F.struct(minus.alias("cells"), found.alias("found")), step, lambda s: F.when(~left(s), s.found))
+
+
+def likeness(first: Column, second: Column) -> Column:
+    """Shared paragraphs by all paragraphs of either text, from two fingerprints alone; null where they differ too much for sketches of this size, and a larger one is needed."""
+    size = lambda f: F.aggregate(F.slice(_read(f, 1), 1, WIDTH), F.lit(0).cast("long"), lambda a, c: a + c.n)
+    both, apart = size(first) + size(second), F.size(differing(first, second))
+    return F.when(both == 0, 1.0).when(apart >= 0, (both - apart) / (both + apart))
+
+
 def compare(pairs: DataFrame, room: float, keep: bool = False) -> DataFrame:
     """Rows of edited_pairs to the contract's columns, and whether each comparison came to its end; with `keep` also the digests that differ."""
     sha = F.sha2(F.encode("edited", "UTF-8"), 256)
@@ -196,14 +239,14 @@ RESULT = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpri
 def op8_invertible_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, its edited text's, and their likeness: shared paragraphs by all paragraphs of either (1 if there are none).
 
-    A null text counts as empty, a null doc_id comes before all others, equal ids are ordered by text. The next
+    A null text counts as empty, a null doc_id comes before all others, equal ids are ordered by a hash of their texts. The next
     document of a single one is itself.
     """
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def fingerprints(docs: DataFrame, room: float = ROOM) -> DataFrame:
-    cuts = borders(docs.select(id_key().alias("_key")), "_key")
+    cuts = borders(docs.select(row_key().alias("_key")), "_key")
     done = checkpointed(compare(edited_pairs(docs, cuts), room).select(*ROW, *RESULT, "_failed"))
     good = done.where(~F.col("_failed")).select(*RESULT)
     for attempt in range(1, ATTEMPTS):

@@ -538,6 +538,37 @@ def test_op8(spark, folder, monkeypatch):
     check_sketches({r.doc_id: r for r in sketches.fingerprints(docs, 0.2).collect()}, texts)
 
 
+def test_likeness_from_fingerprints_alone(spark):
+    """What the returned fingerprints tell is what the larger sketches told, and the digests that differ; texts that are alike always tell it."""
+    rng = random.Random(6)
+    lines = [[f"line {rng.randrange(10**9)}" for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(40)]
+    texts = [t for own in lines for t in ("\n".join(own), "\n".join([*own, "one more"]), "\n".join(own[1:]))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = sketches.fingerprints(rows).select("doc_id", "near_edited", F.col("fingerprint").alias("f"), sketches.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("alone")).collect()
+    told = [r for r in made if r.alone is not None]
+    assert len(told) > len(made) / 2 and all(abs(r.alone - r.near_edited) < 1e-9 for r in told)
+    prints = {r.doc_id: r.f for r in made}
+    pairs = spark.createDataFrame([(i, prints[i], prints[i + 1]) for i in range(0, len(texts), 3)], "i long, a string, b string")
+    digest = spark.createDataFrame([(t,) for t in sorted({u for t in texts for u in units(t)})], "u string").select("u", F.xxhash64("u").alias("d")).collect()
+    of = {r.u: r.d for r in digest}
+    for r in pairs.select("i", sketches.differing(F.col("a"), F.col("b")).alias("x"), sketches.likeness(F.col("a"), F.col("b")).alias("l")).collect():
+        a, b = units(texts[r.i]), units(texts[r.i + 1])
+        assert sorted((c.n, c.key) for c in r.x) == sorted([(1, of[u]) for u in a - b] + [(-1, of[u]) for u in b - a])
+        assert abs(r.l - len(a & b) / len(a | b)) < 1e-9
+
+
+def test_op8_stretches_cut_rows_of_one_id(spark, monkeypatch):
+    """Where a third of the rows and more have no id, they lie in several stretches, and each row still has its next one."""
+    monkeypatch.setattr(sketches, "STRETCH", 8)
+    rows = spark.createDataFrame([(None if i < 80 else i, f"text {i}\nof its own") for i in range(120)], "doc_id long, text string")
+    cuts = sketches.borders(rows.select(sketches.row_key().alias("_key")), "_key")
+    assert sum(c[0] == -(1 << 63) for c in cuts) >= 4
+    keyed = rows.select("doc_id", "text", sketches.row_key().alias("_key"))
+    ordered = [r.text for r in keyed.orderBy("_key", "text").collect()]
+    chained = {r.text: r.next_text for r in sketches.with_next(keyed, "_key", ["text"], ["text"], cuts).collect()}
+    assert chained == dict(zip(ordered, ordered[1:] + ordered[:1]))
+
+
 def test_op8_null_and_equal_ids(spark):
     rows = spark.createDataFrame([(None, "b\nc"), (1, "x\ny"), (1, "x\ny"), (1, "a\nb")], "doc_id long, text string")
     made = sketches.fingerprints(rows).collect()

@@ -36,3 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def without_estimates(df: DataFrame) -> DataFrame:
+    """The checkpointed rows without the size that the planner reckoned for the plan they came from.
+
+    A checkpoint keeps that estimate, and a join's is the product of its sides'. In a loop of joins and checkpoints its
+    digits double with each join, until the driver does nothing but multiply.
+    """
+    session, rows = df.sparkSession._jsparkSession, df._jdf
+    return DataFrame(session.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), df.sparkSession)

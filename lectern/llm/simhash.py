@@ -173,7 +173,9 @@ def similar_groups(fingerprinted: DataFrame, radius: int = 4, id_col: str = "doc
 
 
 #: Near-copies by similarity: tables in which candidates meet, and words of 64 bits by which they are judged.
-TABLES, ROUNDS = 8, 10
+TABLES, ROUNDS = 4, 10
+#: Sets from this size on are judged by their bits before they are compared, and by how many standard deviations more than on average their bits may differ: fewer than one pair in 10^11 of the similarity is turned away.
+LARGE_SET, DEVIATIONS = 100, 7
 #: Bits of the filter that tells which texts are wanted, at most: 32 MB.
 MOST_BITS = 1 << 28
 #: Documents in which common shingles are looked for, in how many of them one is common, and how many are kept.
@@ -206,8 +208,9 @@ def signature_of(hashes: np.ndarray) -> bytes:
 
 
 def most_differing(similarity: float) -> int:
-    """The bits in which signatures of two sets of this Jaccard similarity, alike in size, differ on average."""
-    return int(64 * ROUNDS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """The bits in which signatures of two large sets of this Jaccard similarity differ at most. Sets of unlike sizes differ in fewer."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * ROUNDS * share + DEVIATIONS * math.sqrt(64 * ROUNDS * share * (1 - share)))
 
 
 def rarest(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
@@ -262,16 +265,11 @@ def table_bits(nodes: int) -> int:
     return min(60, max(40, 15 + math.ceil(math.log2(max(1, nodes)))))
 
 
-def similar_nodes(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Rows (node long, signature) to rows (node, root) of nodes that are linked at this similarity, as the signatures tell it."""
-    return components(likely_pairs(nodes, similarity))
-
-
 def likely_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Rows (node long, signature) to pairs (a, b) that are likely to have this similarity; neither all such pairs nor such pairs alone.
+    """Rows (node long, n, signature) to pairs (a, b) that may have this similarity, but not all of them.
 
-    Ball hashing in several short tables finds candidates: at 0.8 a pair meets in one of them nine times in ten, at 0.9
-    nearly always, unlike ones hardly ever. All bits of a signature judge them. What lies in one bucket is linked to its first.
+    Ball hashing in several short tables finds candidates: pairs of 0.9 nearly always, those of 0.8 two times in three,
+    unlike ones hardly ever. What lies in one bucket is linked to its first.
     """
     width = table_bits(nodes.count())
     word = lambda t: F.shiftrightunsigned(F.conv(F.hex(F.substring("signature", t * 8 + 1, 8)), 16, -10).cast("long"), 64 - width) + (t << width)
@@ -281,25 +279,31 @@ def likely_pairs(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     links = fingerprint_links(first.select("fingerprint"), 4, width, TABLES)
     end = lambda name: first.select(F.col("fingerprint").alias(name), F.col("first").alias(f"{name}_node"))
     near = links.join(end("a"), "a").join(end("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    pairs = near.union(equal).where("a <> b").distinct()
-    signed = lambda name: nodes.select(F.col("node").alias(name), F.col("signature").alias(f"{name}_signature"))
+    return plausible(near.union(equal).where("a <> b").distinct(), nodes, similarity)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) without those whose sizes or signatures show that they are less similar than this. nodes: rows (node, n, signature)."""
+    signed = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_signature"))
     bits = lambda column: [F.conv(F.hex(F.substring(column, 8 * r + 1, 8)), 16, -10).cast("long") for r in range(ROUNDS)]
     differing = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits("a_signature"), bits("b_signature"))), F.lit(0))
-    return pairs.join(signed("a"), "a").join(signed("b"), "b").where(differing <= most_differing(similarity)).select("a", "b")
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    may_be = (small >= similarity * large - SLACK) & ((small < LARGE_SET) | (differing <= most_differing(similarity)))
+    return pairs.join(signed("a"), "a").join(signed("b"), "b").where(may_be).select("a", "b")
 
 
-def pairs_apart(nodes: DataFrame, roots: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Rows (node, n, rare) and (node, root) to pairs (a, b) of different roots, among them all of this similarity.
+def pairs_apart(nodes: DataFrame, linked: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Rows (node, n, signature, rare) to pairs (a, b) that aren't linked yet, among them all of this similarity. linked: rows (node, root).
 
     Two such sets share one of the rarest of both. The places at which they share them bound how many they share in all.
     Roots that share a token are paired first and their members then, so members of one root, however many, never meet.
     """
-    spread = nodes.select("node", F.posexplode("rare").alias("pos", "token"))
-    shared_by = lambda rows, name: checkpointed(rows.groupBy("token").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select("token"))
-    several = shared_by(spread, "node")
-    met = likely_among(spread, several, "token").join(several, "token", "left_semi")
-    rooted = checkpointed(met.join(nodes.select("node", "n"), "node").join(roots, "node"))
-    live = checkpointed(rooted.join(shared_by(rooted, "root"), "token", "left_semi").select("token", "root", "node", "n", "pos"))
+    spread = nodes.select("node", "n", F.posexplode("rare").alias("pos", "token"))
+    several = spread.groupBy("token").count().where("count > 1")
+    met = likely_among(spread, several, "token", 64 * nodes.count())
+    rooted = met.join(linked, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "pos")
+    apart = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    live = checkpointed(rooted.join(apart, "token", "left_semi"))
     here = live.select("token", "root").distinct()
     two = here.withColumnRenamed("root", "a_root").join(here.withColumnRenamed("root", "b_root"), "token").where("a_root < b_root")
     end = lambda x: live.select("token", F.col("root").alias(f"{x}_root"), F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("pos").alias(f"{x}_pos"))
@@ -308,55 +312,54 @@ def pairs_apart(nodes: DataFrame, roots: DataFrame, similarity: float = 0.8) ->
     rest = lambda a, b: F.least(F.col("a_n") - a - 1, F.col("b_n") - b - 1)
     pairs = two.join(end("a"), ["token", "a_root"]).join(end("b"), ["token", "b_root"]).where(alike & (F.least("a_pos", "b_pos") + 1 + rest(F.col("a_pos"), F.col("b_pos")) >= least))
     shared = pairs.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("shared"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
-    return shared.where(F.col("shared") + rest(F.col("a_pos"), F.col("b_pos")) >= least).select("a", "b")
+    return plausible(shared.where(F.col("shared") + rest(F.col("a_pos"), F.col("b_pos")) >= least).select("a", "b"), nodes, similarity)
 
 
 def text_digest() -> Column:
     return F.unhex(F.substring(F.sha2(filled().cast("binary"), 256), 1, 32))
 
 
-def likely_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def likely_among(rows: DataFrame, wanted: DataFrame, key: str, bits: int) -> DataFrame:
     """Rows whose key is among the wanted ones, and a few others: a join behind this moves hardly more rows than it gives.
 
-    A bit for each wanted key, about 16 times as many bits as keys and MOST_BITS at most, goes to all tasks. Where there
-    are so many keys that most bits are set, rows merely move in vain.
+    One bit for each wanted key goes to all tasks, among about `bits` and MOST_BITS at most. Where there are so many
+    keys that most bits are set, rows merely move in vain.
     """
-    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(16 * max(1, wanted.count())))))
+    bits = min(MOST_BITS, max(1 << 15, 1 << math.ceil(math.log2(max(1, bits)))))
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     number, position = F.bitmap_bucket_number(place + 1), F.bitmap_bit_position(place + 1)
-    made = wanted.groupBy(number.alias("_lectern_part")).agg(F.bitmap_construct_agg(position).alias("_lectern_bits"))
+    placed = wanted.select(number.alias("_lectern_part"), position.alias("_lectern_at")).repartition("_lectern_part")
+    made = placed.groupBy("_lectern_part").agg(F.bitmap_construct_agg("_lectern_at").alias("_lectern_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_lectern_bits"), (F.col("_lectern_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     there = rows.withColumns({"_lectern_part": number, "_lectern_at": position}).join(F.broadcast(made), "_lectern_part")  # of MOST_BITS at most
     return there.where(F.getbit(byte, (F.col("_lectern_at") % 8).cast("int")) == 1).select(rows.columns)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest)."""
+    """Those of the pairs (a, b) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest).
+
+    Texts move rather than their sets, which are several times larger.
+    """
     pairs = checkpointed(pairs.select("a", "b"))
     if pairs.isEmpty():
         return pairs
     small_batches(docs.sparkSession)
 
-    @arrow_udf("binary")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
-
     @arrow_udf("boolean")
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             made = []
             for x, y in zip(left, right):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = shingle_set(x.as_py(), words), shingle_set(y.as_py(), words)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 made.append(len(x) + len(y) == 0 or both / (len(x) + len(y) - both) >= similarity)
             yield pa.array(made, pa.bool_())
 
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
-    texts = likely_among(docs.select(text_digest().alias("digest"), "text"), wanted, "digest").join(wanted, "digest").dropDuplicates(["digest"])
-    sets = checkpointed(texts.select("node", hashed(filled()).alias("set")))
-    end = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
-    return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_set", "b_set")).select("a", "b"))
+    there = likely_among(docs.select(text_digest().alias("digest"), filled().alias("text")), wanted, "digest", 16 * wanted.count())
+    texts = checkpointed(there.join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text"))
+    end = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
+    return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_text", "b_text")).select("a", "b"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -371,12 +374,14 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("sketch").alias("sketch")).select("w", "digest", "sketch.*", F.monotonically_increasing_id().alias("node")))
     named = nodes.select("node", "digest")
-    linked = components(verified(likely_pairs(nodes.select("node", "signature"), similarity), named, docs, words, similarity))
-    roots = checkpointed(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    links = verified(pairs_apart(nodes.select("node", "n", "rare"), roots, similarity), named, docs, words, similarity)
-    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    above = components(links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    grouped = nodes.select("node", "w").join(roots, "node").join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
+    sized = nodes.select("node", "n", "signature")
+    linked = components(verified(likely_pairs(sized, similarity), named, docs, words, similarity))
+    links = verified(pairs_apart(nodes.select("node", "n", "signature", "rare"), linked, similarity), named, docs, words, similarity)
+    root = lambda x: linked.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = nodes.select("node", "w").join(linked, "node", "left").select("w", F.coalesce("root", "node").alias("root"))
+    grouped = rooted.join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
     winners = checkpointed(grouped.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.digest").alias("_lectern_digest")))
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.join(winners.select(F.col("_lectern_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)

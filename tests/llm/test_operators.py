@@ -628,7 +628,9 @@ def test_links_stay_few():
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(12)] + [(100, 101), (101, 100), (7, 7), (100, 300)]
-    made = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40  # doesn't grow from round to round
+    made = {r.node: r.root for r in found.collect()}
     assert made == {i: 0 for i in range(13)} | {100: 100, 101: 100, 300: 100}
 
 
@@ -639,21 +641,28 @@ def test_op10(spark, folder):
     assert [made[i].component_id for i in range(len(TEXTS))] == brute_groups(prints)
 
 
-def test_similar_nodes(spark):
+def test_likely_pairs(spark):
+    """Near pairs are proposed, and no pair is turned away by its bits that has the similarity."""
     rng = random.Random(3)
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    texts, near, far = [], [], []
+    texts, near = [], []
     for _ in range(60):
         base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
         texts.append(base)
-        for changes in (2, 4, 40):
+        for changes in (2, 4, 9, 40):
             copy = list(base)
             for at in rng.sample(range(400), changes):
                 copy[at] = "new"
             like = len(shingles(base) & shingles(copy)) / len(shingles(base) | shingles(copy))
-            (near if like >= 0.88 else far if like < 0.6 else []).append((len(texts) - 1 - (changes > 2) - (changes > 4), len(texts)))
             texts.append(copy)
-    rows = [(i, bytearray(simhash.signature(" ".join(t)))) for i, t in enumerate(texts)]
-    root = {i: i for i in range(len(texts))} | {r.node: r.root for r in simhash.similar_nodes(spark.createDataFrame(rows, "node long, signature binary")).collect()}
-    assert len(near) > 100 and sum(root[a] == root[b] for a, b in near) >= 0.97 * len(near)
-    assert len(far) > 50 and not any(root[a] == root[b] for a, b in far)
+            near.append((like, len(texts) - 1 - (2, 4, 9, 40).index(changes) - 1, len(texts) - 1))
+    rows = [(i, len(shingles(t)), bytearray(simhash.signature(" ".join(t)))) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, n int, signature binary")
+    pairs = spark.createDataFrame([(a, b) for _, a, b in near], "a long, b long")
+    kept = {(r.a, r.b) for r in simhash.plausible(pairs, nodes, 0.8).collect()}
+    assert all((a, b) in kept for like, a, b in near if like >= 0.8)
+    unlike = [(a, b) in kept for like, a, b in near if like < 0.45]
+    assert len(unlike) > 30 and sum(unlike) < 0.2 * len(unlike)
+    root = {r.node: r.root for r in components.components(simhash.likely_pairs(nodes, 0.8)).collect()}
+    close = [(a, b) for like, a, b in near if like >= 0.9]
+    assert len(close) > 100 and sum(root.get(a, a) == root.get(b, b) for a, b in close) >= 0.9 * len(close)

@@ -206,6 +206,15 @@ def _pages(found: list[Group], size: int) -> list[Group]:
     return list(made.values())
 
 
+def selected_documents(root: Group, hits: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (path, rank, and those of the hits) of the documents that a selection asks for with #: each group's own page of them."""
+    made = hits.select(F.lit("").alias("path"), F.lit(0).alias("rank"), *hits.columns).limit(0)
+    for g in root.below():
+        if g.selected and g.documents:
+            made = made.unionByName(group_documents(hits, values, g.path, *g.documents).select(F.lit(g.path).alias("path"), "rank", *hits.columns))
+    return made
+
+
 def result_rows(root: Group) -> list[tuple[str, int, int, int, bool]]:
     """(path, rank, total_sub_groups, total_docs, selected) of what is selected and all above it; totals count all included children."""
     return [(g.path, g.rank, len(g.children), g.total_docs, g.selected) for g in root.below() if g.selected or g.marked]

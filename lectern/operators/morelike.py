@@ -29,7 +29,10 @@ def telling_words(compiler: Compiler, node: MoreLike, doc_id: int) -> DataFrame:
         .agg(F.count("*").alias("tf"))
         .where(F.col("tf") >= node.min_tf)
     )
-    df = postings.where(F.col("field").isin(*node.fields)).join(F.broadcast(own.select("field", "term")), ["field", "term"], "left_semi").groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
+    if compiler.index.terms is not None:
+        df = compiler.index.terms.where(F.col("field").isin(*node.fields)).select("field", "term", "df")
+    else:  # one document's own terms alone go to all tasks
+        df = postings.where(F.col("field").isin(*node.fields)).join(F.broadcast(own.select("field", "term")), ["field", "term"], "left_semi").groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
     boost = F.lit(0.0)
     for name, b in boosts.items():
         boost = F.when(F.col("field") == name, b).otherwise(boost)

@@ -106,11 +106,21 @@ class SpanNot(Node):
 
 @dataclass(frozen=True)
 class InSection(Node):
-    """Spans that lie in a section whose type matches."""
+    """Spans that lie in a section whose type, or whose sub-document, matches. kind: section_type or sub_document."""
 
     child: Node
     section_type: str
     boost: float = 1.0
+    kind: str = "section_type"
+
+
+@dataclass(frozen=True)
+class InGroup(Node):
+    """Documents in a facet's group: those with a value that is this path or lies below it."""
+
+    field: str
+    path: str
+    boost: float = 1.0
 
 
 @dataclass(frozen=True)

@@ -37,7 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> Index:
-    return index_table(table(spark, sf_dir, "documents"), "doc_id", ["text"], ["lang", "source"], stop_words=frozenset(STOP_WORDS))
+    """The stored index of the documents: the first query of a session writes it, all others read what they need of it."""
+    build = lambda: index_table(table(spark, sf_dir, "documents"), "doc_id", ["text"], ["lang", "source"], stop_words=frozenset(STOP_WORDS))
+    return store.indexed(spark, f"{sf_dir}/documents.parquet", "documents", build)
 
 
 def parts_index(spark: SparkSession, sf_dir: str) -> Index:
@@ -46,7 +48,7 @@ def parts_index(spark: SparkSession, sf_dir: str) -> Index:
 
 def conversations_index(spark: SparkSession, sf_dir: str) -> Index:
     turns = table(spark, sf_dir, "conversations")
-    postings, sections = subdocuments.sectioned_postings(turns, "conv_id", ["turn"], "role", "text", 20)
+    postings, sections = subdocuments.sectioned_postings(turns, "conv_id", ["turn"], "role", "text", 20, "turn")
     docs = turns.select(F.col("conv_id").alias("doc_id")).distinct()
     return Index(docs, docs.select(F.lit("").alias("field"), "doc_id", F.lit(0).alias("ord"), F.lit("").alias("value")), postings, sections)
 
@@ -258,6 +260,15 @@ def section_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(Compiler(conversations_index(spark, sf_dir)).spans(InSection(Term("the"), "user"))).select("doc_id", "total_hits")
 
 
+@query(
+    "sub_document_filter",
+    r"SELECT doc_id, count(*) AS total_hits FROM (SELECT conv_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM conversations WHERE turn = 1) WHERE term = 'the' GROUP BY doc_id",
+)
+def sub_document_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = '<query><and><subDocument>1</subDocument><term field="text">the</term></and></query>'
+    return hits(Compiler(conversations_index(spark, sf_dir)).spans(parse_xml.parse(source).query)).select("doc_id", "total_hits")
+
+
 @query(
     "section_positions",
     r"""WITH t AS (SELECT conv_id AS doc_id, turn, role, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n FROM conversations),
@@ -266,7 +277,7 @@ b AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id ORDER BY turn) - n AS beg
 SELECT doc_id, CAST(begin_ AS INTEGER) AS start, CAST(begin_ + n AS INTEGER) AS "end", role AS section_type FROM b WHERE n > 0""",
 )
 def section_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations_index(spark, sf_dir).sections
+    return conversations_index(spark, sf_dir).sections.drop("sub_document")
 
 
 @query("sub_documents", "SELECT conv_id * 1000 + turn AS doc_id, conv_id AS parent_id, coalesce(role, (SELECT min(role) FROM conversations)) AS role, 'chat' AS kind FROM conversations")
@@ -391,6 +402,19 @@ def facet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.group_documents(*customer_paths(spark, sf_dir), "EUROPE", 3, 12).select("doc_id", "rank")
 
 
+@query(
+    "facet_page_documents",
+    f"WITH {PATHS} SELECT 'EUROPE' AS path, doc_id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM paths WHERE starts_with(value, 'EUROPE::') QUALIFY rank BETWEEN 2 AND 6 "
+    "UNION ALL SELECT value, doc_id, CAST(row_number() OVER (PARTITION BY value ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM paths WHERE starts_with(value, 'ASIA::') QUALIFY rank <= 3",
+)
+def facet_page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a selection asks for: those of one group from the second to the sixth, and the best three of each group below another."""
+    own, values = customer_paths(spark, sf_dir)
+    root = facets.tree(facets.counts(own, values), "totalDocs")
+    facets.select(root, "EUROPE#2-6|ASIA::*#1-3")
+    return facets.selected_documents(root, own, values).select("path", "doc_id", "rank")
+
+
 def selected(spark: SparkSession, sf_dir: str, selector: str, sort: str = "totalDocs") -> DataFrame:
     root = facets.tree(facets.counts(*customer_paths(spark, sf_dir)), sort)
     facets.select(root, selector)
@@ -588,11 +612,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("streamed_postings", TOK + "SELECT term, count(*) AS freq FROM tok GROUP BY term")
 def streamed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, indexed batch by batch into the session's checkpoint folder."""
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/documents.parque[t]"  # as a pattern it may be a file or a folder
     ingest.start(spark, source, spark.read.parquet(source).schema, path).awaitTermination()
     return ingest.latest_postings(spark, path).groupBy("term").agg(F.count("*").alias("freq"))
@@ -624,6 +646,20 @@ def parameter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(documents_index(spark, sf_dir), request.query)
 
 
+@query("facet_filter", TOK + "SELECT DISTINCT doc_id FROM tok JOIN documents USING (doc_id) WHERE term = 'the' AND lang = 'en' AND source = 'src3'")
+def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drill-down: two facet values chosen beside a search."""
+    return members(documents_index(spark, sf_dir), parse_text.parameters({"text": "the", "f1-lang": "en", "f2-source": "src3"}).query)
+
+
+@query("facet_group_filter", f"WITH {PATHS} SELECT doc_id FROM paths WHERE starts_with(value, 'ASIA::')")
+def facet_group_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group of a hierarchy chosen: all that lies below it."""
+    own, values = customer_paths(spark, sf_dir)
+    index = Index(own, values.select(F.lit("place").alias("field"), "doc_id", F.lit(0).alias("ord"), "value"), keyword_postings(values, "place", "value"))
+    return members(index, parse_text.parameters({"f1-place": "ASIA"}).query)
+
+
 @query("stop_words_vanish", TOK + "SELECT DISTINCT doc_id FROM tok WHERE term = 'idiot'")
 def stop_words_vanish(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = rewrite.without_stop_words(And((Term("the"), Term("idiot"), Term("of"))), frozenset(STOP_WORDS))

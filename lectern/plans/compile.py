@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import digits_as_number
-from lectern.plans.ast import ALL, And, AllDocs, InSection, Keyword, MoreLike, Near, Node, Not, Or, OrNear, QueryError, Range, SpanFirst, SpanNot, Term, Wildcard, fields_of
+from lectern.plans.ast import ALL, And, AllDocs, InGroup, InSection, Keyword, MoreLike, Near, Node, Not, Or, OrNear, QueryError, Range, SpanFirst, SpanNot, Term, Wildcard, fields_of
 from lectern.plans.index import Index
 
 SPAN = ("doc_id", "start", "end", "score")
 
+#: Positions of a stretch, on which spans and sections are joined.
+STRETCH = 256
+
 
 def idf(df: int, docs: int) -> float:
     return 1 + math.log(docs / (df + 1)) if docs else 0.0
@@ -210,16 +213,27 @@ class Compiler:
     @staticmethod
     def _not_near(include: DataFrame, exclude: DataFrame, slop: int) -> DataFrame:
         """Spans with no excluded one that overlaps or comes nearer than the slop."""
-        away = exclude.select(F.col("doc_id").alias("x_doc"), F.col("start").alias("x_start"), F.col("end").alias("x_end"))
-        near = (F.col("doc_id") == F.col("x_doc")) & (F.col("x_start") < F.col("end") + slop) & (F.col("start") < F.col("x_end") + slop)
-        return include.join(away, near, "left_anti")
+        stretch = max(STRETCH, 2 * min(slop, 1 << 20))
+        reached = include.select("doc_id", "start", "end", _stretches(F.col("start") - slop, F.col("end") + slop, stretch))
+        away = exclude.select("doc_id", F.col("start").alias("x_start"), F.col("end").alias("x_end"), _stretches(F.col("start"), F.col("end"), stretch))
+        near = (F.col("x_start") < F.col("end") + slop) & (F.col("start") < F.col("x_end") + slop)
+        met = reached.join(away, ["doc_id", "_stretch"]).where(near).select("doc_id", "start", "end").distinct()
+        return include.join(met, ["doc_id", "start", "end"], "left_anti")
 
     def _insection(self, node: InSection) -> DataFrame:
         if self.index.sections is None:
             raise QueryError("the index has no sections")
-        there = self.index.sections.where(F.col("section_type") == node.section_type).select(F.col("doc_id").alias("s_doc"), F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-        inside = (F.col("doc_id") == F.col("s_doc")) & (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end"))
-        return self._spans(node.child).join(there, inside, "left_semi")
+        if node.kind not in self.index.sections.columns:
+            raise QueryError(f"the index has no {node.kind}")
+        there = self.index.sections.where(F.col(node.kind) == node.section_type).select("doc_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"), _stretches(F.col("start"), F.col("end"), STRETCH))
+        spans = self._spans(node.child).withColumn("_stretch", F.floor(F.col("start") / STRETCH))
+        own = (spans.doc_id == there.doc_id) & (spans._stretch == there._stretch)
+        return spans.join(there, own & (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end")), "left_semi").drop("_stretch")
+
+    def _ingroup(self, node: InGroup) -> DataFrame:
+        value = F.col("value")
+        found = self.index.values.where((F.col("field") == node.field) & ((value == node.path) | value.startswith(node.path + "::")))
+        return found.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(1.0).alias("score")).distinct()
 
     def _keyword(self, node: Keyword) -> DataFrame:
         """Every field scores by the nearness of the words it has; with all_words a document must have each word somewhere."""
@@ -236,6 +250,11 @@ class Compiler:
         return more_like(self, node)
 
 
+def _stretches(start: Column, end: Column, size: int) -> Column:
+    """The stretches of positions that a span touches, one row for each: what comes near shares one, so joins are on equal keys."""
+    return F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(end - 1, start) / size))).alias("_stretch")
+
+
 def _runs(spans: Column, slop: int, terms: int) -> Column:
     """Fold sorted spans into runs. State: finished runs and the open one, with the terms it has and its last span."""
     start = lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.score.alias("sum"), F.array(s.term).alias("has"), F.lit(0).alias("dist"))
@@ -275,7 +294,7 @@ def replaced(node: Node, **changes: object) -> Node:
 
 
 def positional(node: Node) -> bool:
-    return not any(isinstance(n, (AllDocs, Not, MoreLike, Keyword)) or (isinstance(n, Range) and n.numeric) for n in walk(node))
+    return not any(isinstance(n, (AllDocs, Not, MoreLike, Keyword, InGroup)) or (isinstance(n, Range) and n.numeric) for n in walk(node))
 
 
 def longest(node: Node) -> int:

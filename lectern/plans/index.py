@@ -31,6 +31,8 @@ class Index:
     config: Mapping[str, str] = field(default_factory=dict)
     #: Fields whose postings are not stored: rows (doc_id, value) from which a query's own are made in one pass.
     texts: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: Rows (field, term, df, cf) of a stored index; without them they are counted.
+    terms: DataFrame | None = None
 
     @cached_property
     def doc_count(self) -> int:
@@ -48,6 +50,8 @@ class Index:
 
     def sized_postings(self, name: str, terms: Sequence[str]) -> DataFrame:
         """Rows (term, doc_id, pos, n) with the words n of the field."""
+        if "n" in self.postings.columns:
+            return self.postings.where((F.col("field") == name) & F.col("term").isin(*terms)).select("term", "doc_id", "pos", "n")
         if name not in self.texts:
             return self.term_postings(name, terms).join(self.lengths([name]).select("doc_id", "n"), "doc_id")
         return self._split(name, terms).select("term", "doc_id", "pos", F.col("_n").alias("n"))
@@ -60,20 +64,33 @@ class Index:
         split = self.texts[name].where(has).select("doc_id", F.size(tokens).alias("_n"), tokens.alias("_words"))
         return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).where(F.col("term").isin(*terms))
 
+    def with_lengths(self) -> DataFrame:
+        """All postings with n, the words of their field in their document: of stored texts from the split itself, of others counted."""
+        if "n" in self.postings.columns:
+            return self.postings
+        others = self.postings.where(~F.col("field").isin(*self.texts)) if self.texts else self.postings
+        counted = others.groupBy("field", "doc_id").agg(F.count("*").cast("int").alias("n"))
+        made = others.join(counted, ["field", "doc_id"])
+        for name, rows in self.texts.items():
+            made = made.unionByName(text_postings(rows, name, "value", sized=True))
+        return made
+
     def lengths(self, fields: Sequence[str]) -> DataFrame:
         """Words of each field and document."""
         return self.postings.where(F.col("field").isin(*fields)).groupBy("field", "doc_id").agg(F.count("*").alias("n"))
 
     def dictionary(self, field_name: str) -> DataFrame:
+        if self.terms is not None:
+            return self.terms.where(F.col("field") == field_name).select("term", "df", "cf")
         return self.postings.where(F.col("field") == field_name).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("cf"))
 
 
-def text_postings(df: DataFrame, field_name: str, text: str, id_col: str = "doc_id") -> DataFrame:
-    """One row for each word of each text, by Spark's own functions. The words are counted below the generator: above it, each row would count them again."""
+def text_postings(df: DataFrame, field_name: str, text: str, id_col: str = "doc_id", sized: bool = False) -> DataFrame:
+    """One row for each word of each text, by Spark's own functions; with `sized` also n, the words of the text. The words are counted below the generator: above it, each row would count them again."""
     tokens = words(F.col(text))
     split = df.select(F.col(id_col).cast("long").alias("doc_id"), F.size(tokens).alias("_n"), tokens.alias("_words"))
     return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).select(
-        F.lit(field_name).alias("field"), "term", "doc_id", "pos", (F.col("pos") == 0).alias("is_first"), (F.col("pos") == F.col("_n") - 1).alias("is_last")
+        F.lit(field_name).alias("field"), "term", "doc_id", "pos", (F.col("pos") == 0).alias("is_first"), (F.col("pos") == F.col("_n") - 1).alias("is_last"), *([F.col("_n").alias("n")] if sized else [])
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +20,12 @@ TABLES = ("documents", "values", "postings", "sections")
 
 
 def write_index(index: Index, path: str, shards: int | None = None) -> None:
-    """Postings are stored by field and sorted by term, so that a query reads only the row groups of its terms."""
-    postings = index.postings.repartitionByRange(shards, "field", "term", "doc_id") if shards else index.postings.repartitionByRange("field", "term", "doc_id")
+    """Postings are stored by field and sorted by term, so that a query reads only the row groups of its terms. Each has the words of its field, so that scores need no join."""
+    sized = index.with_lengths()
+    postings = sized.repartitionByRange(shards, "field", "term", "doc_id") if shards else sized.repartitionByRange("field", "term", "doc_id")
     postings.sortWithinPartitions("field", "term", "doc_id", "pos").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    counted = index.spark.read.parquet(f"{path}/postings").groupBy("field", "term", "doc_id").agg(F.count("*").alias("c")).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("c").alias("cf"))
+    counted.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
     index.values.write.mode("overwrite").partitionBy("field").parquet(f"{path}/values")
     if index.sections is not None:
@@ -29,14 +36,42 @@ def write_index(index: Index, path: str, shards: int | None = None) -> None:
 
 def read_index(spark: SparkSession, path: str) -> Index:
     config = {r.key: r.value for r in spark.read.parquet(f"{path}/config").collect()}
+    sections, terms = _if_there(spark, f"{path}/sections"), _if_there(spark, f"{path}/terms")
+    rest = {k: v for k, v in config.items() if k not in ("chunk_size", "overlap", "stop_words")}
+    return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/postings"), sections, int(config["chunk_size"]), int(config["overlap"]), frozenset(config["stop_words"].split()), rest, terms=terms)
+
+
+def _if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        sections = spark.read.parquet(f"{path}/sections")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        sections = None
-    rest = {k: v for k, v in config.items() if k not in ("chunk_size", "overlap", "stop_words")}
-    return Index(spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/postings"), sections, int(config["chunk_size"]), int(config["overlap"]), frozenset(config["stop_words"].split()), rest)
+        return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only with a local master, and without that setting, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise QueryError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="lectern-")
+
+
+#: Indexes that this process has written, by session, name and state of the source.
+_WRITTEN: dict[tuple[str, str, str], Index] = {}
+
+
+def indexed(spark: SparkSession, source: str, name: str, build: Callable[[], Index]) -> Index:
+    """The stored index of a table, written when it is first asked for in a session, and again when a file of the source has changed."""
+    files = spark.read.format("binaryFile").load(source).select("path", "modificationTime", "length")
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(30, 0)"))).first()
+    key = (spark.sparkContext.applicationId, name, f"{source} {tuple(state)}")
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        write_index(build(), path)
+        _WRITTEN[key] = read_index(spark, path)
+    return _WRITTEN[key]
 
 
 def changes(existing: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:
@@ -78,6 +113,9 @@ def merge(a: Index, b: Index) -> Index:
 
 def dump_terms(index: Index, fields: list[str] | None = None) -> DataFrame:
     """Rows (field, term, doc_freq, freq)."""
+    if index.terms is not None:
+        own = index.terms if fields is None else index.terms.where(F.col("field").isin(*fields))
+        return own.select("field", "term", F.col("df").alias("doc_freq"), F.col("cf").alias("freq"))
     own = index.postings if fields is None else index.postings.where(F.col("field").isin(*fields))
     return own.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("doc_freq"), F.count("*").alias("freq"))
 

@@ -440,6 +440,96 @@ def test_quality_held_out():
     assert ((odd >= 0) & (odd <= 1)).all()
 
 
+def brute_pooled(network, features, counts):
+    """Convolution and pooling word by word: each filter over each window that begins with a word of the text, nothing behind its end."""
+    made, at = [], 0
+    for n in counts:
+        vectors = [network.embedding[f].sum(axis=0) for f in features[at : at + n]] + [np.zeros(toxicity.SIZE)] * 2
+        at += n
+        row = []
+        for filters, shift, k in zip(network.filters, network.shift, toxicity.WIDTHS):
+            for c in range(toxicity.FILTERS):
+                row.append(max([0.0] + [float(np.concatenate(vectors[i : i + k]) @ filters[:, c] + shift[c]) for i in range(n)]))
+        made.append(row)
+    return np.array(made).reshape(len(counts), -1)
+
+
+@pytest.mark.parametrize("stretch", [toxicity.STRETCH, 7])
+def test_pooling_equals_brute_force(monkeypatch, stretch):
+    monkeypatch.setattr(toxicity, "STRETCH", stretch)
+    rng = np.random.default_rng(8)
+    network = toxicity.Network()
+    for shift in network.shift:
+        shift += rng.normal(0, 0.1, len(shift)).astype(np.float32)
+    counts = np.array([0, 1, 2, 3, 25, 0, 9])
+    features = rng.integers(0, toxicity.BUCKETS, (counts.sum(), 3))
+    assert np.allclose(network.pooled(features, counts)[0], brute_pooled(network, features, counts), atol=1e-5)
+    best, where = network.pooled(features, counts, positions=True)
+    assert np.allclose(best, network.pooled(features, counts)[0], atol=1e-6) and (where[0] == -1).all() and (where[best == 0] == -1).all()
+
+
+def test_convolution_gradient():
+    """The gradient that training takes, against small changes of the loss."""
+    rng = np.random.default_rng(1)
+    network = toxicity.Network()
+    counts, labels = np.array([4, 6, 5]), np.array([1.0, 0.0, 1.0])
+    features = rng.integers(0, 50, (counts.sum(), 3))
+    network._start = lambda *a: None
+    for p in (network.embedding, *network.filters):
+        p *= 6
+    taken = []
+
+    class Spy:
+        def __init__(self, parameters, rate):
+            pass
+
+        def take(self, gradients):
+            taken.append(gradients)
+
+    before, toxicity.Adam = toxicity.Adam, Spy
+    try:
+        network.fit(features, counts, labels, epochs=1)
+    finally:
+        toxicity.Adam = before
+    weight = np.where(labels == 1, 0.5 / 2, 0.5 / 1) * 3
+
+    def loss():
+        p = words.logistic(brute_pooled(network, features, counts) @ network.weights.astype(np.float64) + float(network.bias[0]))
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / 3
+
+    for parameter, gradient in zip(network.parameters(), taken[0]):
+        for at in [np.unravel_index(np.abs(gradient).argmax(), gradient.shape)]:
+            old, step = parameter[at], np.float32(1e-2)
+            parameter[at] = old + step
+            up = loss()
+            parameter[at] = old - step
+            down = loss()
+            parameter[at] = old
+            assert abs((up - down) / (2 * float(step)) - gradient[at]) < 0.02 * max(0.1, abs(gradient[at]))
+
+
+def test_attention_equals_loops():
+    """The forward pass, passage by passage in plain loops."""
+    rng = np.random.default_rng(2)
+    network = quality.Network()
+    network.mean, network.scale = rng.normal(size=quality.SIZE), rng.uniform(0.5, 2, quality.SIZE)
+    network.code_bias += rng.normal(size=quality.CODE)
+    each = np.array([1, 4, 2, 7])
+    rows = rng.normal(size=(each.sum(), quality.SIZE))
+    made, at = [], 0
+    for n in each:
+        codes, raws = [], []
+        for row in rows[at : at + n]:
+            code = np.tanh((row - network.mean) / network.scale @ network.code + network.code_bias)
+            gated = np.tanh(code @ network.tanh_gate) / (1 + np.exp(-(code @ network.sigmoid_gate)))
+            codes.append(code)
+            raws.append(float((gated @ network.attention)[0]))
+        at += n
+        shares = np.exp(raws) / np.exp(raws).sum()
+        made.append(float((sum(s * c for s, c in zip(shares, codes)) @ network.weights)[0] + network.bias[0]))
+    assert np.allclose(network.logits(rows, each), made)
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     network = quality.Network()

@@ -60,16 +60,23 @@ def borders(df: DataFrame, key: str) -> list[tuple[int, int]]:
 
 
 def stretch_of(key: Column, cuts: list[tuple[int, int]]) -> Column:
-    """How many borders the key has reached; looked up in two steps, as there may be thousands."""
-    step = max(1, math.isqrt(len(cuts)))
-    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    if not parts:
+    """How many borders the key has reached; looked up in two steps, as there may be thousands.
+
+    All borders are two literals, whatever their number: one literal each keeps the driver busy for minutes.
+    """
+    if not cuts:
         return F.lit(0)
-    literal = lambda cut: F.struct(F.lit(cut[0]).cast("long").alias("id"), F.lit(cut[1]).cast("long").alias("hash"))
-    heads = F.array(*[literal(p[0]) for p in parts])
-    reached = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.element_at(F.array(*[F.array(*[literal(b) for b in p]) for p in parts]), F.greatest(reached, F.lit(1)))
-    return F.when(reached == 0, 0).otherwise((reached - 1) * step + F.size(F.filter(inside, lambda b: b <= key)))
+    step = max(1, math.isqrt(len(cuts)))
+    longs = lambda numbers: F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+    def reached(ids: Column, hashes: Column) -> Column:
+        own, hash_ = key.getField("id"), key.getField("hash")
+        return F.size(F.filter(ids, lambda b, i: (b < own) | ((b == own) & (F.get(hashes, i) <= hash_))))
+
+    ids, hashes = ([c[part] for c in cuts] for part in (0, 1))
+    before = (F.greatest(reached(longs(ids[::step]), longs(hashes[::step])), F.lit(1)) - 1) * step
+    inside = lambda numbers: F.slice(longs(numbers), before + 1, F.lit(step))
+    return before + reached(inside(ids), inside(hashes))
 
 
 def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts: list[tuple[int, int]], only: DataFrame | None = None) -> DataFrame:
@@ -86,11 +93,13 @@ def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str], cuts
     as_shadow = F.struct(F.col("_before").alias("s"), F.lit(True).alias("shadow"))
     both = placed.join(there, F.col(key) == F.col("_first"), "left").withColumn("_as", F.explode(F.when(F.col("_first").isNull(), F.array(as_itself)).otherwise(F.array(as_itself, as_shadow))))
     both = both.select(*df.columns, F.col("_as.s").alias("_stretch"), F.col("_as.shadow").alias("_shadow"))
+    parts = len(firsts)
     if only is not None:
         both = both.join(F.broadcast(only), "_stretch", "left_semi")  # at most MOST_STRETCHES rows
+        parts = only.count()
     order = Window.partitionBy("_stretch").orderBy("_shadow", key, *ties)
     return (
-        both.repartition(max(1, len(firsts)), "_stretch")
+        both.repartition(max(1, parts), "_stretch")
         .withColumns({f"next_{c}": F.lead(c).over(order) for c in carried} | {"_place": F.row_number().over(order)})
         .where(~F.col("_shadow"))
         .drop("_shadow")

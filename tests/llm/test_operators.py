@@ -1,5 +1,6 @@
 """The ten operators against brute force, on small hand-made tables with nulls, empties, long texts, ties and repeats."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -659,6 +660,23 @@ def test_op8_stretches_cut_rows_of_one_id(spark, monkeypatch):
     assert chained == dict(zip(ordered, ordered[1:] + ordered[:1]))
 
 
+def test_op8_many_stretches(spark, monkeypatch):
+    """Thousands of borders take no more expressions on the driver than a few, and place each key as a search does."""
+    rng = random.Random(3)
+    cuts = sorted({(rng.randrange(-3000, 3000), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(6000)})
+    keys = [*cuts[::50], *((i, h + 1) for i, h in cuts[::70]), *((i, h - 1) for i, h in cuts[::90]), (-(1 << 63), 0), ((1 << 63) - 1, 0)]
+    made, lit = [], F.lit
+    with monkeypatch.context() as patch:
+        patch.setattr(sketches.F, "lit", lambda value: made.append(value) or lit(value))
+        few, few_made = sketches.stretch_of(F.col("k"), cuts[:9]), len(made)
+        all_, all_made = sketches.stretch_of(F.col("k"), cuts), len(made) - few_made
+    assert all_made == few_made
+    rows = spark.createDataFrame([((i, h),) for i, h in keys], "k struct<id: long, hash: long>").select("k", few.alias("few"), all_.alias("all")).collect()
+    assert len(rows) == len(keys)
+    for r in rows:
+        assert (r["few"], r["all"]) == (bisect.bisect_right(cuts[:9], tuple(r.k)), bisect.bisect_right(cuts, tuple(r.k)))
+
+
 def test_op8_null_and_equal_ids(spark):
     rows = spark.createDataFrame([(None, "b\nc"), (1, "x\ny"), (1, "x\ny"), (1, "a\nb")], "doc_id long, text string")
     made = sketches.fingerprints(rows).collect()

@@ -29,8 +29,10 @@ from pyspark.sql.functions import arrow_udf
 
 from lectern.llm.common import filled, small_batches, table
 
-#: Most states that a transducer keeps, and most words whose ids a worker remembers; beyond either it begins afresh.
+#: Most states that a transducer keeps (four endings count as one), and most words whose ids a worker remembers; beyond either it begins afresh.
 MOST_STATES, MOST_WORDS = 280_000, 100_000
+#: Under which key a state keeps what still waits if its bytes end with this one.
+ENDING = tuple(range(256, 512))
 #: Words beyond this length are encoded, but not remembered. Bytes after which the number of states is looked at.
 LONGEST_REMEMBERED, STEP = 64, 1 << 14
 
@@ -47,24 +49,18 @@ def rust_white_space(pattern: str) -> str:
 
 
 class _State(dict):
-    """A set of configurations; byte to the next state and the packed ids emitted, made when first asked for."""
+    """A set of configurations; byte to the next state and the packed ids emitted, made when first asked for. Also a last byte, as in ENDING, to the packed ids behind it."""
 
-    __slots__ = ("configurations", "end", "of")
+    __slots__ = ("configurations", "of")
 
     def __init__(self, of: Transducer, configurations: tuple):
         super().__init__()
-        self.of, self.configurations, self.end = of, configurations, b""
+        self.of, self.configurations = of, configurations
 
     def __missing__(self, byte: int) -> tuple[_State, bytes]:
         move = self[byte] = self.of.move(self.configurations, byte)
         return move
 
-    def finish(self) -> bytes:
-        """What still waits, if the bytes end here: exactly one configuration stands between two tokens."""
-        [waiting] = [waiting for _, node, waiting in self.configurations if node == 0]
-        self.end = struct.pack(f"<{len(waiting)}I", *waiting)
-        return self.end
-
 
 class Transducer:
     """Bytes of one pre-token in, packed little-endian 32-bit ids out."""
@@ -90,6 +86,7 @@ class Transducer:
 
     def _begin(self) -> None:
         self.states: dict[tuple, _State] = {}
+        self.endings = 0
         self.start = self._state(((-1, 0, ()),))
 
     def _state(self, configurations: tuple) -> _State:
@@ -171,20 +168,42 @@ class Transducer:
         emitted = struct.pack(f"<{agreed}I", *whole[2][:agreed])
         return self._state(tuple([(last, node, waiting[agreed:]) for last, node, waiting in found])), emitted
 
+    def last(self, configurations: tuple, byte: int) -> bytes:
+        """All that waits, if the bytes end with this one: the token that ends here is known without the state behind it."""
+        for last, node, waiting in configurations:
+            following = self.children[node].get(byte)
+            if following is not None:
+                token = self.token_at[following]
+                if token < 0:
+                    continue
+                fit = self._fits.get(last << 20 | token)
+                if self.fits(last, token) if fit is None else fit:
+                    return struct.pack(f"<{len(waiting) + 1}I", *waiting, token)
+        raise ValueError("the vocabulary lacks single bytes")
+
     def encode(self, data: bytes) -> bytes:
+        if not data:
+            return b""
         state, out = self.start, []
         for at in range(0, len(data), STEP):
-            if len(self.states) > MOST_STATES:
+            if len(self.states) + self.endings // 4 > MOST_STATES:
                 configurations = state.configurations
                 self._begin()
                 self._fits.clear()
                 state = self._state(configurations)  # as a new state, from which no old one is reached
                 gc.collect()
-            for byte in data[at : at + STEP]:
+            for byte in data[at : min(at + STEP, len(data) - 1)]:
                 state, emitted = state[byte]
                 if emitted:
                     out.append(emitted)
-        out.append(state.end or state.finish())
+        ending = ENDING[data[-1]]
+        ids = state.get(ending)
+        if ids is None:
+            ids = state[ending] = self.last(state.configurations, data[-1])
+            self.endings += 1
+        if not out:
+            return ids
+        out.append(ids)
         return b"".join(out)
 
 
@@ -233,7 +252,10 @@ def transducing_encoder(ranks_path: str, pattern: str) -> TextEncoder:
     known = _Remembered(lambda piece: transducer.encode(piece.encode()))
 
     def encode(text: str) -> bytes:
-        return b"".join(map(known.__getitem__, pieces.findall(text)))
+        found = pieces.findall(text)
+        if len(found) == 1:  # the caller remembers it
+            return known.get(text) or known.older.get(text) or transducer.encode(text.encode())
+        return b"".join([known[piece] for piece in found])
 
     return TextEncoder(encode)
 

@@ -317,6 +317,19 @@ def test_buckets(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/buckets").where("octet_length(ids) = 4 * length and length = shiftleft(1L, bucket)").count() == len(rows)
 
 
+def test_no_state_behind_the_last_byte(reference):
+    """Words that differ in their last byte alone share all states; their ids are those of the library."""
+    path, library = reference
+    transducer = bpe.Transducer(bpe.read_ranks(path))
+    transducer.encode(b" zarkela")
+    states = len(transducer.states)
+    for last in "abcdefghijklmnopqrstuvwxyz":
+        ids = transducer.encode(f" zarkel{last}".encode())
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(f" zarkel{last}")
+    assert len(transducer.states) == states
+    assert transducer.encode(b"") == b""
+
+
 def test_states_stay_few_in_a_long_word(reference, monkeypatch):
     """A single pre-token of many letters is cut off from old states on its way, and its ids stay the same."""
     path, library = reference

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lectern.llm.common import checkpointed, filled, small_batches, table
+from lectern.llm.common import checkpointed, filled, release, small_batches, table, without_estimates
 from lectern.llm.components import components
 
 #: Variants that a task holds at once.
@@ -180,6 +180,8 @@ LARGE_SET, DEVIATIONS = 100, 7
 MOST_BITS = 1 << 28
 #: Documents in which common shingles are looked for, in how many of them one is common, and how many are kept.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 10_000, 4, 200_000
+#: How many times one pair is compared for each group before all pairs between groups are.
+PICKS = 3
 #: What rounding may do to a bound on the number of shared shingles.
 SLACK = 1e-6
 
@@ -336,11 +338,11 @@ def likely_among(rows: DataFrame, wanted: DataFrame, key: str, bits: int) -> Dat
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest).
+    """Those of the pairs (a, b; other columns stay) whose texts' sets of shingles have this Jaccard similarity. nodes: rows (node, digest).
 
     Texts move rather than their sets, which are several times larger.
     """
-    pairs = checkpointed(pairs.select("a", "b"))
+    pairs = checkpointed(pairs)
     if pairs.isEmpty():
         return pairs
     small_batches(docs.sparkSession)
@@ -357,9 +359,40 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, si
 
     wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"))
     there = likely_among(docs.select(text_digest().alias("digest"), filled().alias("text")), wanted, "digest", 16 * wanted.count())
-    texts = checkpointed(there.join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text"))
+    texts = there.join(wanted, "digest").dropDuplicates(["digest"]).select("node", "text")  # for both ends one exchange, which is compressed; a checkpoint isn't
     end = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"{x}_text"))
-    return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_text", "b_text")).select("a", "b"))
+    return checkpointed(pairs.join(end("a"), "a").join(end("b"), "b").where(alike("a_text", "b_text")).select(pairs.columns))
+
+
+def root_links(pairs: DataFrame, linked: DataFrame | None, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between roots that connect all that pairs of this similarity connect. linked: rows (node, root); a node that isn't there is its own root.
+
+    For each root one pair with a smaller root is compared, a few times over with the roots that this leaves, and then
+    every pair whose roots aren't connected yet. So of many copies that all meet each other hardly more texts move than
+    there are copies.
+    """
+    if linked is None:
+        rooted = pairs.select("a", "b", F.col("a").alias("a_root"), F.col("b").alias("b_root"))
+    else:
+        root = lambda x: linked.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        rooted = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+    ends = F.least("a_root", "b_root").alias("lo"), F.greatest("a_root", "b_root").alias("hi")
+    rooted = without_estimates(checkpointed(rooted.where("a_root <> b_root").select("a", "b", *ends)))
+    as_links = lambda some: some.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    links = as_links(rooted.limit(0))
+    for _ in range(PICKS):
+        release(docs.sparkSession)
+        if rooted.isEmpty():
+            return links
+        first = rooted.groupBy("hi").agg(F.min(F.struct("lo", "a", "b")).alias("pair")).select("pair.a", "pair.b", "pair.lo", "hi")
+        found = as_links(verified(first, nodes, docs, words, similarity))
+        links, above = links.union(found), components(found)
+        top = lambda x: above.select(F.col("node").alias(x), F.col("root").alias(f"{x}_top"))
+        ends = F.coalesce("lo_top", "lo").alias("x"), F.coalesce("hi_top", "hi").alias("y")
+        rest = rooted.join(first.select("a", "b"), ["a", "b"], "left_anti").join(top("lo"), "lo", "left").join(top("hi"), "hi", "left").select("a", "b", *ends)
+        rooted = without_estimates(checkpointed(rest.where("x <> y").select("a", "b", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))))
+    release(docs.sparkSession)
+    return links.union(as_links(verified(rooted, nodes, docs, words, similarity)))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -368,18 +401,17 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     All pairs of this Jaccard similarity are linked and no others: what ball hashing finds is verified on the shingles,
     then all pairs that could still join two groups are. Equal texts are one node; of equal ids in a group the one whose
     text's digest is smaller stays, and of equal texts any one row. A null text counts as empty, and all empty texts are
-    one group. Texts move once for each verification, those with candidates only, and once at the end.
+    one group. Texts move with the pairs that are compared, about one for each text with candidates, and once at the end.
     """
     rows = with_sketch(docs.select("doc_id", "text"), words, similarity).select("doc_id", text_digest().alias("digest"), "sketch")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     nodes = checkpointed(rows.groupBy("digest").agg(least.alias("w"), F.first("sketch").alias("sketch")).select("w", "digest", "sketch.*", F.monotonically_increasing_id().alias("node")))
     named = nodes.select("node", "digest")
     sized = nodes.select("node", "n", "signature")
-    linked = components(verified(likely_pairs(sized, similarity), named, docs, words, similarity))
-    links = verified(pairs_apart(nodes.select("node", "n", "signature", "rare"), linked, similarity), named, docs, words, similarity)
-    root = lambda x: linked.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    linked = components(root_links(likely_pairs(sized, similarity), None, named, docs, words, similarity))
+    between = root_links(pairs_apart(nodes.select("node", "n", "signature", "rare"), linked, similarity), linked, named, docs, words, similarity)
     above = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    release(docs.sparkSession)
     rooted = nodes.select("node", "w").join(linked, "node", "left").select("w", F.coalesce("root", "node").alias("root"))
     grouped = rooted.join(above, "root", "left").groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("w").alias("w"))
     winners = checkpointed(grouped.select(F.col("w.doc_id").alias("_lectern_id"), F.col("w.digest").alias("_lectern_digest")))

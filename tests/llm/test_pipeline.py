@@ -116,6 +116,23 @@ def test_near_duplicates_that_meet_through_an_unlike_one(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_near_duplicates(rows)
 
 
+def test_near_duplicates_compare_few_pairs(spark, monkeypatch):
+    """Of copies that all meet each other, no more pairs are compared than there are texts; all are linked, and unlike ones aren't."""
+    compared, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    rng, made = random.Random(3), []
+    for _ in range(4):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+        for _ in range(40):
+            made.append(list(base))
+            for _ in range(2):
+                made[-1][rng.randrange(400)] = f"new{rng.randrange(100_000)}"
+    rows = {i: " ".join(t) for i, t in enumerate(made)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], COLUMNS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_near_duplicates(rows)
+    assert sum(compared) <= len(rows)
+
+
 def test_odd_rows(spark, folder, tmp_path):
     """Null ids, repeated rows, extra columns and an empty table pass through every stage."""
     rows = [(None, "some words here", 1), (None, None, 2), (7, "some other words", 3), (7, "some other words", 3), (7, "quite different text now", 4)]

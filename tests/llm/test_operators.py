@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -341,6 +342,49 @@ def test_states_stay_few_in_a_long_word(reference, monkeypatch):
     assert len(transducer.states) < 3000
 
 
+def test_texts_encoded_together(reference, monkeypatch):
+    """Many texts at once get the library's ids, also while states, words and groups begin afresh."""
+    path, library = reference
+    for name, few in {"MOST_STATES": 1500, "MOST_WORDS": 150, "LONGEST_REMEMBERED": 12, "ABREAST": 300, "TOGETHER": 4000}.items():
+        monkeypatch.setattr(bpe, name, few)
+    encoder, rng = bpe.transducing_encoder.__wrapped__(path, public_tokenizers.PATTERN), random.Random(6)
+    ends = ["", " ", "\n", "\x1c", "\u3000", "\n\n", "  x", "\n the", "\x85 \xa0"]
+    usual = ["the", "of", "don't", "it's.", "a\nb", "Straße,", "x1y22", "日本語。", "🎉", "q" * 40, "é" * 17, "...", "\u200b"]
+    word = lambda: rng.choice(usual) if rng.random() < 0.6 else "".join(rng.choices("abcdeéß", k=rng.randint(1, 50)))
+    for _ in range(6):
+        texts = [rng.choice(ends) + " ".join(word() for _ in range(rng.randint(0, 40))) + rng.choice(ends) for _ in range(60)]
+        assert [list(memoryview(ids).cast("I")) for ids in encoder.many(pa.array(texts))] == [library.encode_ordinary(t) for t in texts]
+        assert len(encoder.transducer.states) < 1500 + 300 + 100 and len(encoder.known) <= 150
+    assert encoder.many(pa.array([], pa.string())) == []
+
+
+def test_known_moves_are_taken_together(reference):
+    """Words whose moves were met before go through the table; no move is made a second time, and no state asked by itself."""
+    path, library = reference
+    encoder = bpe.transducing_encoder.__wrapped__(path, public_tokenizers.PATTERN)
+    texts = [f"zarkela{a} bromivu{b}, trelko{a}{b}" for a in "abcdefgh" for b in "stuvw"]
+    first = encoder.many(pa.array(texts))
+    encoder.known, encoder.older = {}, {}
+    encoder.transducer.move = encoder.transducer.last = encoder.transducer.encode = None
+    assert encoder.many(pa.array(texts)) == first
+    assert [list(memoryview(ids).cast("I")) for ids in first] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_one_worker_encodes_and_decodes(spark, folder):
+    """A second Python stage takes a second worker for each task, and each of them comes to hold a transducer."""
+    plan = QUERIES["op3_byte_bpe"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_encode_and_decode_replace_columns(spark, reference):
+    path, library = reference
+    rows = spark.createDataFrame([(1, None, 5), (1, "a  é", 6), (None, "x\ud7ff\n", 7)], "doc_id long, text string, ids int")
+    made = bpe.encode_and_decode(rows, path, public_tokenizers.PATTERN)
+    assert made.columns == ["doc_id", "text", "ids", "decoded"]
+    for r in made.collect():
+        assert list(memoryview(bytes(r.ids)).cast("I")) == library.encode_ordinary(r.text or "") and r.decoded == (r.text or "")
+
+
 def test_special_token_in_text():
     path = public_tokenizers.path("byte_bpe_50k.json")
     text = "a <|endoftext|> b<|endoftext|>"

@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The stored index of the documents: the first query of a session writes it, all others read what they need of it."""
+    """The index of the documents: the first query of a session that asks for a term takes its postings from the texts and keeps them, all others read them."""
     build = lambda: index_table(table(spark, sf_dir, "documents"), "doc_id", ["text"], ["lang", "source"], stop_words=frozenset(STOP_WORDS))
     return store.indexed(spark, f"{sf_dir}/documents.parquet", "documents", build)
 

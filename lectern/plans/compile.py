@@ -1,7 +1,7 @@
 """Query nodes to DataFrames. Every node becomes spans: rows (doc_id, start, end, score).
 
-Terms are resolved first, in one small job over the dictionary: wildcards and ranges become terms, and document
-frequencies become literals. What is left is declarative: a scan of few terms, unions, and joins on the document and a
+Terms are resolved first: wildcards and ranges become terms, and document frequencies become literals. An index that
+keeps postings takes those of new terms from the texts in the same pass. What is left is declarative: a scan of few terms, unions, and joins on the document and a
 stretch of positions, so that a frequent word doesn't pair all its places in a document with all of another's.
 """
 
@@ -40,7 +40,10 @@ class Compiler:
         node = self._expand(node)
         wanted = {(n.field, n.text) for n in walk(node) if isinstance(n, Term)} | {(f, w) for n in walk(node) if isinstance(n, Keyword) for f in n.fields for w in n.words}
         wanted -= self.frequency.keys()
-        if wanted:
+        if wanted and self.index.kept is not None:
+            self.index.kept.keep(self.index, wanted)
+            self.frequency |= {w: self.index.kept.frequency[w] for w in wanted}
+        elif wanted:
             parts = [self.index.term_postings(name, [t for f, t in wanted if f == name]).withColumn("field", F.lit(name)) for name in sorted({f for f, _ in wanted})]
             found = reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
             self.frequency |= dict.fromkeys(wanted, 0) | {(r.field, r.term): r.df for r in found.collect()}
@@ -180,7 +183,7 @@ class Compiler:
         if reach < 10_000:
             found = found.withColumn("_stretch", F.floor(F.col("at") / reach))
             right = right.withColumn("_stretch", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("r_start") / reach) + d)))
-            both = found.join(right, ["doc_id", "_stretch"])
+            both = found.join(right.hint("merge"), ["doc_id", "_stretch"])  # kept postings are many times larger in memory than their files, by which a broadcast is chosen
         else:
             both = found.join(right, "doc_id")
         start, end, at, to = (F.col(c) for c in ("r_start", "r_end", "at", "to"))

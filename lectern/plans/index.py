@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import words
 
+if TYPE_CHECKING:
+    from lectern.sources.store import Kept
+
 POSTINGS = "field string, term string, doc_id long, pos int, is_first boolean, is_last boolean"
 
 
@@ -33,6 +37,8 @@ class Index:
     texts: Mapping[str, DataFrame] = field(default_factory=dict)
     #: Rows (field, term, df, cf) of a stored index; without them they are counted.
     terms: DataFrame | None = None
+    #: Where the postings of the terms that queries ask for stay from one query to the next; without it each scan finds them anew.
+    kept: Kept | None = None
 
     @cached_property
     def doc_count(self) -> int:
@@ -44,12 +50,16 @@ class Index:
 
     def term_postings(self, name: str, terms: Sequence[str]) -> DataFrame:
         """Rows (term, doc_id, pos) of these terms. Texts without any of them are told by a plain search before they are split."""
+        if self.kept is not None and self.kept.has(name, terms):
+            return self.kept.postings(name, terms).select("term", "doc_id", "pos")
         if name not in self.texts:
             return self.postings.where((F.col("field") == name) & F.col("term").isin(*terms)).select("term", "doc_id", "pos")
         return self._split(name, terms).select("term", "doc_id", "pos")
 
     def sized_postings(self, name: str, terms: Sequence[str]) -> DataFrame:
         """Rows (term, doc_id, pos, n) with the words n of the field."""
+        if self.kept is not None and self.kept.has(name, terms):
+            return self.kept.postings(name, terms)
         if "n" in self.postings.columns:
             return self.postings.where((F.col("field") == name) & F.col("term").isin(*terms)).select("term", "doc_id", "pos", "n")
         if name not in self.texts:
@@ -62,7 +72,7 @@ class Index:
             has = has | F.contains(F.lower("value"), F.lit(term))
         tokens = words(F.col("value"))
         split = self.texts[name].where(has).select("doc_id", F.size(tokens).alias("_n"), tokens.alias("_words"))
-        return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).where(F.col("term").isin(*terms))
+        return split.select("doc_id", "_n", F.posexplode_outer("_words").alias("pos", "term")).where(F.col("term").isin(*terms))
 
     def with_lengths(self) -> DataFrame:
         """All postings with n, the words of their field in their document: of stored texts from the split itself, of others counted."""
@@ -75,9 +85,34 @@ class Index:
             made = made.unionByName(text_postings(rows, name, "value", sized=True))
         return made
 
-    def lengths(self, fields: Sequence[str]) -> DataFrame:
-        """Words of each field and document."""
-        return self.postings.where(F.col("field").isin(*fields)).groupBy("field", "doc_id").agg(F.count("*").alias("n"))
+    def lengths(self, fields: Sequence[str] | None = None) -> DataFrame:
+        """Words of each field and document; of fields whose texts are there without a row for each word."""
+        rest = self.postings.where(~F.col("field").isin(*self.texts)) if self.texts else self.postings
+        sizes = rest.select("field", "doc_id", F.lit(1).alias("n"))
+        for name, rows in self.texts.items():
+            sizes = sizes.unionByName(rows.select(F.lit(name).alias("field"), "doc_id", F.size(words(F.col("value"))).alias("n")).where("n > 0"))
+        own = sizes if fields is None else sizes.where(F.col("field").isin(*fields))
+        return own.groupBy("field", "doc_id").agg(F.sum("n").alias("n"))
+
+    @cached_property
+    def once(self) -> bool:
+        """Whether each document has one row, with an id."""
+        return self.documents.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+    def counted(self, fields: Sequence[str] | None = None) -> DataFrame:
+        """Rows (field, term, df, cf). Where each document has one row, the words of a text are counted by term alone: no row for each word and document moves."""
+        texts = {n: rows for n, rows in self.texts.items() if fields is None or n in fields}
+        own = self.postings if fields is None else self.postings.where(F.col("field").isin(*fields))
+        by_posting = lambda df: df.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("cf"))
+        if not texts or not self.once:
+            return by_posting(own)
+        parts = [by_posting(own.where(~F.col("field").isin(*texts)))]
+        for name, rows in texts.items():
+            split = rows.select(words(F.col("value")).alias("_words"))
+            marked = lambda array, first: F.transform(array, lambda w: F.struct(w.alias("term"), F.lit(first).alias("first")))
+            each = split.select(F.explode_outer(F.concat(marked(F.col("_words"), 0), marked(F.array_distinct("_words"), 1))).alias("w")).where("w is not null")
+            parts.append(each.groupBy(F.lit(name).alias("field"), "w.term").agg(F.sum("w.first").alias("df"), F.sum(1 - F.col("w.first")).alias("cf")))
+        return reduce(DataFrame.unionByName, parts)
 
     def dictionary(self, field_name: str) -> DataFrame:
         if self.terms is not None:
@@ -86,10 +121,10 @@ class Index:
 
 
 def text_postings(df: DataFrame, field_name: str, text: str, id_col: str = "doc_id", sized: bool = False) -> DataFrame:
-    """One row for each word of each text, by Spark's own functions; with `sized` also n, the words of the text. The words are counted below the generator: above it, each row would count them again."""
+    """One row for each word of each text, by Spark's own functions; with `sized` also n, the words of the text. The words are counted below the generator: above it, each row would count them again. It is an outer one, as for others the planner asks first whether there are words, which splits each text twice."""
     tokens = words(F.col(text))
     split = df.select(F.col(id_col).cast("long").alias("doc_id"), F.size(tokens).alias("_n"), tokens.alias("_words"))
-    return split.select("doc_id", "_n", F.posexplode("_words").alias("pos", "term")).select(
+    return split.select("doc_id", "_n", F.posexplode_outer("_words").alias("pos", "term")).where("term is not null").select(
         F.lit(field_name).alias("field"), "term", "doc_id", "pos", (F.col("pos") == 0).alias("is_first"), (F.col("pos") == F.col("_n") - 1).alias("is_last"), *([F.col("_n").alias("n")] if sized else [])
     )
 

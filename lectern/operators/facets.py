@@ -31,8 +31,11 @@ def prefixes(value: Column) -> Column:
 
 def memberships(values: DataFrame) -> DataFrame:
     """Rows (doc_id, value) to (doc_id, path): a document is in each group of its values and in all above, once. An empty value is the group <empty>."""
-    value = F.when(F.coalesce(F.col("value"), F.lit("")) == "", F.lit("<empty>")).otherwise(F.col("value"))
-    return values.select("doc_id", F.explode(prefixes(value)).alias("path")).distinct()
+    return values.select("doc_id", paths_of(F.col("value"))).distinct()
+
+
+def paths_of(value: Column) -> Column:
+    return F.explode(prefixes(F.when(F.coalesce(value, F.lit("")) == "", F.lit("<empty>")).otherwise(value))).alias("path")
 
 
 def counts(hits: DataFrame, values: DataFrame, include_empty: bool = False) -> DataFrame:
@@ -40,7 +43,7 @@ def counts(hits: DataFrame, values: DataFrame, include_empty: bool = False) -> D
     members = memberships(values)
     found = members.join(hits.select("doc_id", "score"), "doc_id").groupBy("path").agg(F.count("*").alias("total_docs"), F.max("score").alias("max_score"))
     if include_empty:
-        found = members.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("total_docs", F.lit(0)).alias("total_docs"), F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
+        found = values.select(paths_of(F.col("value"))).distinct().join(found, "path", "left").select("path", F.coalesce("total_docs", F.lit(0)).alias("total_docs"), F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
     depth = F.size(F.split("path", SEPARATOR))
     parent = F.when(depth > 1, F.array_join(F.slice(F.split("path", SEPARATOR), F.lit(1), depth - 1), SEPARATOR)).otherwise(F.lit(""))
     return found.select("path", parent.alias("parent"), depth.alias("depth"), "total_docs", "max_score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 
 
-def words(text: Column) -> Column:
-    """Lower-case words in their order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def words(text: Column, without: Sequence[str] = ()) -> Column:
+    """Lower-case words in their order; `without` are left out by the pattern itself, which is several times faster than a filter of the array."""
+    pattern = WORD
+    if without:
+        inside = r"[\p{L}\p{N}]"
+        pattern = rf"(?<!{inside})(?!(?:{'|'.join(map(re.escape, without))})(?!{inside})){WORD}"
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def digits_as_number(value: Column) -> Column:

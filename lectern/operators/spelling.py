@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import accents_folded, edit_distance, fold_accents, sound_key
+from lectern.functions.text import accents_folded, edit_distance, fold_accents, sound_key, words as words_of
 
 MIN_WORD, MIN_PAIR, MOST_DISTANCE = 2, 2, 4
 KEY_LENGTH, KEY_CHARACTERS = 6, 4
@@ -27,6 +27,13 @@ def pair_counts(postings: DataFrame, stop_words: Sequence[str] = (), least: int
     return own.select(F.col("term").alias("first"), after.alias("second")).where("second is not null").groupBy("first", "second").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
 
 
+def text_pair_counts(texts: DataFrame, stop_words: Sequence[str] = (), least: int = MIN_PAIR) -> DataFrame:
+    """pair_counts of texts (column text), each a document of its own: neighbours are told within a row, so words are neither exchanged nor sorted."""
+    after = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0)))
+    pairs = texts.select(words_of(F.col("text"), stop_words).alias("_words")).select(F.explode_outer(F.arrays_zip(F.col("_words").alias("first"), after.alias("second"))).alias("p"))
+    return pairs.select("p.first", "p.second").where("second is not null").groupBy("first", "second").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+
+
 def spelling_keys(words: DataFrame) -> DataFrame:
     """Rows (key, word, freq): every four of a word's first six characters, in order, blanks filling up short words."""
     padded = F.rpad(F.substring(accents_folded(F.col("word")), 1, KEY_LENGTH), KEY_LENGTH, " ")
@@ -106,15 +113,22 @@ class Speller:
 
     def suggest_word(self, word: str) -> str | None:
         """The best of replacing the word and of splitting it in two known words of two characters at least; None if it is best as it is."""
-        word = word.lower()
-        known = self.frequencies([word])[word]
-        own = 1.0 + frequency_boost(known, self.levels) + 0.2 * (known > 0)
-        options = [(score, text) for score, text, _ in self.similar([word])[word][:1]]
-        splits = [(word[:i], word[i:]) for i in range(2, len(word) - 1)]
-        pairs = self.pair_frequencies(splits)
-        options += [(0.8 + pair_score(f, 0), " ".join(p)) for p, f in pairs.items() if f]
-        best = max(options, key=lambda o: (o[0], o[1]), default=None)
-        return best[1] if best and (best[0] > own or not known) else None
+        return self.suggest_words([word])[0]
+
+    def suggest_words(self, words: Sequence[str]) -> list[str | None]:
+        """suggest_word of each of several words, that are looked up together: the tables are read once for all."""
+        words = [w.lower() for w in words]
+        known, similar = self.frequencies(words), self.similar(words)
+        splits = {w: [(w[:i], w[i:]) for i in range(2, len(w) - 1)] for w in words}
+        pairs = self.pair_frequencies([p for of_word in splits.values() for p in of_word])
+        made = []
+        for w in words:
+            own = 1.0 + frequency_boost(known[w], self.levels) + 0.2 * (known[w] > 0)
+            options = [(score, text) for score, text, _ in similar[w][:1]]
+            options += [(0.8 + pair_score(pairs[p], 0), " ".join(p)) for p in splits[w] if pairs[p]]
+            best = max(options, key=lambda o: (o[0], o[1]), default=None)
+            made.append(best[1] if best and (best[0] > own or not known[w]) else None)
+        return made
 
     def suggest(self, text: Sequence[str]) -> list[str | None]:
         """For each word of a phrase the suggestion, None for as it is, the empty string for gone (joined to the one before)."""

@@ -483,7 +483,15 @@ def spelling_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT first, second, count(*) AS freq FROM p WHERE second IS NOT NULL GROUP BY first, second HAVING count(*) >= 2""",
 )
 def spelling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.pair_counts(text_postings(table(spark, sf_dir, "documents"), "text", "text"), STOP_WORDS)
+    return neighbours(spark, sf_dir, STOP_WORDS)
+
+
+def neighbours(spark: SparkSession, sf_dir: str, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of neighbours in the documents; rows of one id, if there are such, are one document."""
+    docs = table(spark, sf_dir, "documents")
+    if documents_index(spark, sf_dir).once:
+        return spelling.text_pair_counts(docs, stop_words)
+    return spelling.pair_counts(text_postings(docs, "text", "text"), stop_words)
 
 
 @query("spelling_key_sizes", "WITH w AS (SELECT DISTINCT lower(p_brand) AS word FROM part), s AS (SELECT rpad(word[1:6], 6, ' ') AS p FROM w), k AS (SELECT unnest([p[1:1]||p[2:2]||p[3:3]||p[4:4], p[3:3]||p[4:4]||p[5:5]||p[6:6]]) AS key FROM s) SELECT key, count(*) AS words FROM k WHERE key IN (SELECT p[1:4] FROM s) GROUP BY key")
@@ -500,9 +508,9 @@ def spelling_key_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("spelling_suggestions")
 def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = text_postings(table(spark, sf_dir, "documents"), "text", "text")
-    speller = spelling.Speller(spelling.word_counts(postings), spelling.pair_counts(postings))
+    speller = spelling.Speller(store.written(spelling.word_counts(postings), "words"), neighbours(spark, sf_dir))
     tried = ("idoit", "wortless", "clonw", "patetic")
-    return spark.createDataFrame([(w, speller.suggest_word(w)) for w in tried], "original string, suggestion string")
+    return spark.createDataFrame(list(zip(tried, speller.suggest_words(tried))), "original string, suggestion string")
 
 
 # snippets, works

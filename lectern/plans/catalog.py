@@ -519,8 +519,11 @@ def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snippets_of_page")
 def snippets_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = documents_index(spark, sf_dir)
-    page = hits(Compiler(index).spans(Near((Term("of"), Term("the")), 2)), True).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(10)
-    return snippets.snippets(page.join(index.documents.select("doc_id", "text"), "doc_id"), ("of", "the"))
+    spans = Compiler(index).spans(Near((Term("of"), Term("the")), 2))
+    page = [r.doc_id for r in hits(spans).orderBy(F.desc(F.round("score", 6)), "doc_id").limit(10).collect()]
+    of_page = lambda df: df.where(F.col("doc_id").isin(page))
+    shown = hits(of_page(spans), True).join(of_page(index.documents).select("doc_id", "text"), "doc_id")
+    return snippets.snippets(shown, ("of", "the"))
 
 
 @query("works_of_parts")
